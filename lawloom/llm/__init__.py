@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import budget, leakage, packing, splitting
+    from . import budget, leakage, lookalike, packing, splitting
 
-    return (budget, splitting, packing, leakage)
+    return (lookalike, budget, splitting, packing, leakage)
 
 
 def queries() -> dict:
