@@ -5,9 +5,10 @@ shape from other scripts replaced, every single blank the same, characters witho
 values are grouped in SQL under the UNICODE collation, which is sensitive to accents and letter case but blind to
 the way an accented letter is composed; each class gets a deterministic canonical member, which is joined back.
 
-Rows with the same stored characters are first reduced to one (a partial aggregate before the shuffle), so
-that a law, a source or a group of copies with a third of all rows is no hot key; laws are part of the grouping
-key together with the text. Defined results: null looks like null only and its canonical form is null; an empty
+A 64-bit signature of the bare letters and digits, which look-alikes share, first tells the values that have any
+partner at all; only their texts are shuffled. Rows with the same stored characters are reduced to one by a
+partial aggregate before each shuffle, so that a law, a source or a group of copies with a third of all rows is
+no hot key; laws are part of the grouping key together with the text. Defined results: null looks like null only and its canonical form is null; an empty
 value is a value like any other; a value whose characters all lack a shape looks like the empty one; the
 canonical member is the stored value that needs least mapping, then the most frequent, then the smallest; other
 columns are ignored, whatever their names; an empty table gives no rows.
@@ -18,11 +19,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import cut, table
+from ..runtime import MAX_BROADCAST_ROWS, cut, table
 
 #: Letters of other scripts or blocks with the shape of a Latin letter (fixed values, by script).
 SAME_SHAPE = {
@@ -67,6 +69,28 @@ _MAP = _mapping()
 _SAFE = {c: v for c, v in _MAP.items() if v is None or chr(c) not in SAME_SHAPE}
 
 
+def _bare() -> dict[int, str | None]:
+    """The map to bare lower-case letters and digits: what any two look-alikes have in common."""
+    out: dict[int, str | None] = {}
+    for c in range(0x10000):
+        to = _MAP.get(c, chr(c))
+        low = to.lower() if to else to
+        kept = bool(low) and unicodedata.category(low[0])[0] in "LN"
+        if not kept:
+            out[c] = None
+        elif low != chr(c):
+            out[c] = low
+    return out
+
+
+_BARE = _bare()
+
+
+def signature(values: tuple[str | None, ...]) -> int:
+    """64 bits of the bare letters and digits of some values; null and empty differ."""
+    return xxhash.xxh3_64_intdigest("\x00".join("\x01" if v is None else unicodedata.normalize("NFD", v).translate(_BARE) for v in values)) - (1 << 63)
+
+
 def look(text: str) -> str:
     """One form for all texts that read the same on the page; decomposed, for comparison only."""
     return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_MAP))
@@ -110,18 +134,34 @@ def look_classes(variants: DataFrame, scope: list[str], fields: list[str]) -> Da
     mapped = variants
     for f in fields:
         mapped = mapped.withColumn(f"m_{f}", _looks(F.col(f)))
+    mapped = cut(mapped)
     for f in fields:
         mapped = mapped.withColumn(f"k_{f}", F.expr(f"coalesce(concat('=', m_{f}.look), '') COLLATE UNICODE"))
     effort = sum((F.coalesce(F.col(f"m_{f}.effort"), F.lit(0)) for f in fields[1:]), F.coalesce(F.col(f"m_{fields[0]}.effort"), F.lit(0)))
     keys = [*scope, *(f"k_{f}" for f in fields)]
     best = F.struct(effort.alias("effort"), (-F.col("n")).alias("n"), *fields, F.col("v"))
-    classes = mapped.groupBy(*keys).agg(F.min(best).alias("canonical"), F.count("*").alias("variants"))
+    classes = mapped.groupBy(*keys).agg(F.min(best).alias("canonical"), F.count("*").alias("variants")).where("variants > 1")
     joined = mapped.alias("x").join(classes.alias("c"), [F.col(f"x.{k}").eqNullSafe(F.col(f"c.{k}")) if k in scope else F.col(f"x.{k}") == F.col(f"c.{k}") for k in keys])
     return joined.select("x.v", "x.n", *(F.col(f"x.{c}").alias(c) for c in [*scope, *fields]), F.col("c.canonical.v").alias("class"), "c.variants", *(F.col(f"c.canonical.{f}").alias(f"canonical_{f}") for f in fields))
 
 
-def _rows(records: DataFrame, id_col: str, scope: list[str], fields: list[str]) -> DataFrame:
-    return records.select(F.col(id_col).cast("bigint").alias("k"), *scope, *fields).withColumn("v", _stored_key(*scope, *fields))
+def _candidates(rows: DataFrame, scope: list[str], fields: list[str]) -> DataFrame:
+    """The rows (`k`, scope, fields) whose signature is shared by different stored values, with their key `v`.
+
+    The rows are read twice: once for signatures, of which only numbers are shuffled, and once for the texts of
+    the rows that have a partner. Their keys are copied to every task only if they are few.
+    """
+
+    @F.pandas_udf("bigint")
+    def sign(*columns: pd.Series) -> pd.Series:
+        return pd.Series([signature(values) for values in zip(*columns)], dtype="int64")
+
+    signed = cut(rows.select("k", F.xxhash64(*scope, sign(*fields)).alias("sig"), _stored_key(*scope, *fields).alias("v")))
+    shared = signed.groupBy("sig").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("sig")
+    held = cut(signed.join(shared, "sig", "left_semi").select("k", "v").distinct())
+    keys = held.select("k").distinct()
+    keys = F.broadcast(keys) if held.count() <= MAX_BROADCAST_ROWS else keys
+    return rows.join(keys, "k", "left_semi").withColumn("v", _stored_key(*scope, *fields)).join(held, ["k", "v"], "left_semi")
 
 
 def _variants(rows: DataFrame, scope: list[str], fields: list[str]) -> DataFrame:
@@ -134,8 +174,8 @@ def look_alike_pairs(records: DataFrame, id_col: str = "record_id", scope: str =
 
     Only classes with two or more stored variants are paired, and only across variants, never within copies.
     """
-    rows = cut(_rows(records, id_col, [scope], list(fields)))
-    classes = look_classes(_variants(rows, [scope], list(fields)), [scope], list(fields)).where("variants > 1").select("v", "class")
+    rows = _candidates(records.select(F.col(id_col).cast("bigint").alias("k"), scope, *fields), [scope], list(fields))
+    classes = look_classes(_variants(rows, [scope], list(fields)), [scope], list(fields)).select("v", "class")
     members = cut(rows.select("k", "v").join(classes, "v").select("k", "v", "class"))
     a, b = members.alias("a"), members.alias("b")
     return (
@@ -145,12 +185,17 @@ def look_alike_pairs(records: DataFrame, id_col: str = "record_id", scope: str =
 
 
 def canonical_values(records: DataFrame, id_col: str = "record_id", fields: tuple[str, ...] = ("title", "text")) -> DataFrame:
-    """Every field of every record with the canonical member of its class, and that member in its clean form."""
+    """Every field of every record with the canonical member of its class, and that member in its clean form.
+
+    A value without a look-alike is its own canonical member.
+    """
     stacked = records.select(F.col(id_col).cast("bigint").alias("k"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields])).alias("e")).select("k", "e.field_name", "e.value")
-    rows = stacked.withColumn("v", _stored_key("value"))
-    classes = look_classes(_variants(rows, [], ["value"]), [], ["value"])
-    joined = rows.select("k", "field_name", "v").join(classes.select("v", "variants", "canonical_value", F.col("value").alias("stored")), "v")
-    return joined.select(F.col("k").alias("record_id"), "field_name", F.col("canonical_value").alias("canonical"), _clean(F.col("canonical_value")).alias("clean"), (F.col("stored") != F.col("canonical_value")).alias("changed"), F.col("variants").alias("class_variants"))
+    rows = _candidates(stacked, [], ["value"])
+    classes = look_classes(_variants(rows, [], ["value"]), [], ["value"]).select("v", "variants", "canonical_value")
+    named = rows.select("k", "field_name", "v").join(classes, "v").select("k", "field_name", "canonical_value", "variants")
+    joined = stacked.join(named, ["k", "field_name"], "left")
+    canonical = F.coalesce("canonical_value", "value")
+    return joined.select(F.col("k").alias("record_id"), "field_name", canonical.alias("canonical"), _clean(canonical).alias("clean"), F.coalesce(F.col("value") != F.col("canonical_value"), F.lit(False)).alias("changed"), F.coalesce("variants", F.lit(1)).alias("class_variants"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,8 +208,9 @@ def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of look-alike articles per law: classes with several stored variants, their variants and rows."""
-    rows = _rows(table(spark, sf_dir, "records"), "record_id", ["law_id"], ["title", "text"])
-    classes = look_classes(_variants(rows, ["law_id"], ["title", "text"]), ["law_id"], ["title", "text"]).where("variants > 1")
+    records = table(spark, sf_dir, "records").select(F.col("record_id").alias("k"), "law_id", "title", "text")
+    rows = _candidates(records, ["law_id"], ["title", "text"])
+    classes = look_classes(_variants(rows, ["law_id"], ["title", "text"]), ["law_id"], ["title", "text"])
     return classes.groupBy("law_id").agg(F.countDistinct("class").alias("classes"), F.count("*").alias("variants"), F.sum("n").alias("rows"))
 
 
