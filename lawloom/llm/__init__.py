@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import budget, leakage, lookalike, packing, splitting
+    from . import abuse, budget, leakage, lookalike, packing, splitting
 
-    return (lookalike, budget, splitting, packing, leakage)
+    return (lookalike, budget, splitting, packing, leakage, abuse)
 
 
 def queries() -> dict:
