@@ -4,20 +4,425 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import stats
+from ..functions import text as tx
+from ..operators import chunking, graph, indexing, retrieval, stats, structure
 from ..runtime import table
+from ..sources import readers
+from ..streaming.indexer import stream_index_report
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with its SQL if there is any."""
+
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+_TOKENS = "CAST(floor(length(text) / 3.5) AS INTEGER)"
+_STATS = """count(*) AS chunks, sum(t)::BIGINT AS total_tokens, min(t) AS min_tokens, max(t) AS max_tokens, (sum(t) // count(*))::BIGINT AS avg_tokens,
+  count(*) FILTER (t BETWEEN 800 AND 1200) AS in_range, round_even(100.0 * count(*) FILTER (t BETWEEN 800 AND 1200) / count(*), 1)::DOUBLE AS pct_in_range"""
 
 
+@query(f"SELECT lang, {_STATS} FROM (SELECT lang, {_TOKENS} AS t FROM documents) GROUP BY lang")
+def chunk_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", tx.token_estimate("text").alias("token_count"))
+    return stats.group_stats(docs, "lang")
+
+
+@query(f"SELECT lang, grouping(lang)::INTEGER AS is_total, {_STATS} FROM (SELECT lang, {_TOKENS} AS t FROM documents) GROUP BY ROLLUP (lang)")
 def chunk_stats_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token statistics per language and in total, in one pass over the documents."""
-    docs = table(spark, sf_dir, "documents").select("lang", F.expr("cast(floor(length(text) / 3.5D) as int)").alias("token_count"))
+    docs = table(spark, sf_dir, "documents").select("lang", tx.token_estimate("text").alias("token_count"))
     return stats.rollup_stats(docs, "lang")
 
 
-QUERIES: dict[str, Query] = {"chunk_stats_rollup": chunk_stats_rollup}
-ORACLE_SQL: dict[str, str] = {}
+@query(
+    """SELECT l.law_id, l.law_name AS name, l.source, count(*) AS chunks, sum(token_count)::BIGINT AS total_tokens, min(token_count) AS min_tokens, max(token_count) AS max_tokens,
+  (sum(token_count) // count(*))::BIGINT AS avg_tokens, count(*) FILTER (has_overlap) AS chunks_with_overlap
+FROM chunks c JOIN laws l ON c.source_law_id = l.law_id WHERE token_count IS NOT NULL GROUP BY ALL"""
+)
+def law_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of each registered law's chunks. Chunks are summed per law id first, then named: the join is small."""
+    per = table(spark, sf_dir, "chunks").where("token_count is not null").groupBy(F.col("source_law_id").alias("law_id")).agg(
+        F.count("*").alias("chunks"), F.sum(F.col("token_count").cast("bigint")).alias("total_tokens"), F.min("token_count").alias("min_tokens"), F.max("token_count").alias("max_tokens"),
+        F.expr("sum(cast(token_count as bigint)) div count(*)").alias("avg_tokens"), F.count_if("has_overlap").alias("chunks_with_overlap"),
+    )
+    return per.join(table(spark, sf_dir, "laws").select("law_id", F.col("law_name").alias("name"), "source"), "law_id")
+
+
+@query(f"SELECT lang, CASE WHEN t < 800 THEN 'short' WHEN t <= 1200 THEN 'in_range' ELSE 'long' END AS size_class, count(*) AS n FROM (SELECT lang, {_TOKENS} AS t FROM documents) GROUP BY ALL")
+def size_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tx.token_estimate("text")
+    kind = F.when(t < 800, "short").when(t <= 1200, "in_range").otherwise("long")
+    return table(spark, sf_dir, "documents").groupBy("lang", kind.alias("size_class")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, l.law_id, law_name, count(*) AS records, sum(length(text))::BIGINT AS chars FROM records r JOIN laws l USING (law_id) GROUP BY ALL")
+def registry_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and characters of each registered law, matched exactly by id."""
+    rows = readers.registered(table(spark, sf_dir, "records").select("law_id", F.length("text").alias("n")), table(spark, sf_dir, "laws"))
+    return rows.groupBy("source", "law_id", "law_name").agg(F.count("*").alias("records"), F.sum("n").alias("chars"))
+
+
+@query("SELECT law_id, law_name FROM laws WHERE law_id NOT IN (SELECT law_id FROM documents WHERE law_id IS NOT NULL)")
+def missing_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.missing_laws(table(spark, sf_dir, "documents"), table(spark, sf_dir, "laws")).select("law_id", "law_name")
+
+
+@query(
+    """SELECT record_id, law_id, n AS article_no, row_number() OVER (PARTITION BY law_id, n ORDER BY record_id) AS nth_of_number
+FROM (SELECT record_id, law_id, coalesce(try_cast(trim(split_part(article_id, '__', -1)) AS INTEGER), 0) AS n FROM records)"""
+)
+def article_sort_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number a record is ordered by within its law, and its place among records of the same number."""
+    rows = table(spark, sf_dir, "records").select("record_id", "law_id", tx.article_ordinal("article_id").alias("article_no"))
+    return rows.withColumn("nth_of_number", F.row_number().over(Window.partitionBy("law_id", "article_no").orderBy("record_id")))
+
+
+@query(
+    """WITH r AS (SELECT *, coalesce(try_cast(trim(split_part(article_id, '__', -1)) AS INTEGER), 0) AS n FROM records)
+SELECT law_id, arg_min(article_id, (n, record_id)) AS first_article, arg_max(article_id, (n, record_id)) AS last_article, sum(length(text))::BIGINT AS chars FROM r WHERE article_id IS NOT NULL GROUP BY law_id"""
+)
+def law_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last article and all characters of each law."""
+    rows = table(spark, sf_dir, "records").where("article_id is not null").select("law_id", "article_id", "record_id", tx.article_ordinal("article_id").alias("n"), F.length("text").alias("c"))
+    key = F.struct("n", "record_id")
+    return rows.groupBy("law_id").agg(F.min_by("article_id", key).alias("first_article"), F.max_by("article_id", key).alias("last_article"), F.sum("c").alias("chars"))
+
+
+@query()
+def clean_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "records").select("record_id", tx.clean_text("title").alias("title"), tx.clean_text("text").alias("text"))
+
+
+@query(
+    r"""SELECT doc_id, md5(regexp_replace(regexp_replace(list_aggregate(list_transform(string_split(regexp_replace(coalesce(text, ''), '\n{3,}', e'\n\n', 'g'), e'\n'),
+  lambda x: regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), 'string_agg', e'\n'), '\n{3,}', e'\n\n', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS tidy_md5 FROM documents"""
+)
+def tidy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line part of the cleaning on all documents, by hash."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.doc_hash(tx.tidy_lines(F.coalesce("text", F.lit("")))).alias("tidy_md5"))
+
+
+@query()
+def reconstruct_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned text of each law in blocks of articles, by length and hash."""
+    laws = chunking.reconstruct(table(spark, sf_dir, "records"))
+    return laws.select("law_id", "block", F.length("full_text").alias("chars"), tx.page_estimate("full_text").alias("pages"), tx.doc_hash("full_text").alias("md5"))
+
+
+@query(
+    r"""SELECT doc_id, count(*) AS articles, min(CAST(regexp_extract(h, 'Điều\s+(\d+)', 1) AS INTEGER)) AS first_no, max(CAST(regexp_extract(h, 'Điều\s+(\d+)', 1) AS INTEGER)) AS last_no
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^Điều\s+\d+[\.:]\s*.*')) AS h FROM documents) GROUP BY doc_id"""
+)
+def article_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article headings of every document."""
+    found = structure.headings(table(spark, sf_dir, "documents"), "doc_id", "text").where("kind = 'article'")
+    number = F.regexp_extract("heading", r"(?U)Điều\s+(\d+)", 1).cast("int")
+    return found.groupBy("doc_id").agg(F.count("*").alias("articles"), F.min(number).alias("first_no"), F.max(number).alias("last_no"))
+
+
+@query()
+def extract_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of every document with number, title, size and context."""
+    return structure.extract_articles(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "art_ord", "number", "title", "chapter", "section", "char_count")
+
+
+@query(
+    r"""SELECT kind, count(*) AS n FROM (
+  SELECT 'article' AS kind, unnest(regexp_extract_all(text, '(?m)^Điều\s+\d+[\.:]\s*.*')) AS h FROM documents
+  UNION ALL SELECT 'clause', unnest(regexp_extract_all(text, '(?m)^\s*\d+\.\s+')) FROM documents
+  UNION ALL SELECT 'point', unnest(regexp_extract_all(text, '(?m)^\s*[a-zđ]\)\s+')) FROM documents
+  UNION ALL SELECT 'chapter', unnest(regexp_extract_all(text, '(?m)^Chương\s+[IVXLCDM\d]+[\.:]*\s*.*')) FROM documents
+  UNION ALL SELECT 'section', unnest(regexp_extract_all(text, '(?m)^Mục\s+\d+[\.:]*\s*.*')) FROM documents) GROUP BY kind"""
+)
+def marker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural markers of all documents by kind."""
+    return structure.markers(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def marker_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every structural marker of every record with its position and what follows it."""
+    return structure.markers(table(spark, sf_dir, "records"), "record_id", "text")
+
+
+@query(
+    """SELECT o.event_id, o.user_id, v.ts AS viewed_at FROM (SELECT * FROM events WHERE event_type = 'purchase') o
+ASOF LEFT JOIN (SELECT user_id, ts FROM events WHERE event_type = 'view' AND user_id IS NOT NULL) v ON o.user_id = v.user_id AND o.ts >= v.ts"""
+)
+def asof_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each purchase the last view at or before it: the as-of lookup of headings on the event table."""
+    rows = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "view"))
+    w = Window.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "view", 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last(F.when(F.col("event_type") == "view", F.col("ts")), ignorenulls=True).over(w)
+    return rows.withColumn("viewed_at", F.when(F.col("user_id").isNotNull(), seen)).where("event_type = 'purchase'").select("event_id", "user_id", "viewed_at")
+
+
+@query(
+    """SELECT chunk_key, start_char, coalesce(lead(start_char) OVER (PARTITION BY document_name ORDER BY chunk_key), start_char + n) AS end_char
+FROM (SELECT chunk_key, document_name, n, coalesce(sum(n) OVER (PARTITION BY document_name ORDER BY chunk_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_char
+  FROM (SELECT chunk_key, document_name, length(text) AS n FROM chunks))"""
+)
+def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start and end of each chunk in the sequence of its document's chunks."""
+    rows = table(spark, sf_dir, "chunks").select("chunk_key", "document_name", F.length("text").cast("bigint").alias("n"))
+    return structure.spans(rows, "document_name", "chunk_key", F.col("n")).select("chunk_key", "start_char", "end_char")
+
+
+@query(
+    """WITH RECURSIVE d AS (SELECT doc_id, doc_id // 500 AS part, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) AS i, n_chars AS n FROM documents),
+f AS (SELECT part, doc_id, i, CASE WHEN n >= 2800 THEN 1 ELSE 0 END AS g, 0 AS own, CASE WHEN n >= 2800 THEN 0 ELSE n END AS open, n < 2800 AS pending FROM d WHERE i = 1
+UNION ALL SELECT d.part, d.doc_id, d.i,
+  CASE WHEN d.n >= 2800 OR f.open + d.n >= 2800 THEN 1 ELSE 0 END + (CASE WHEN d.n >= 2800 AND f.pending THEN f.g + 1 ELSE f.g END),
+  CASE WHEN d.n >= 2800 AND f.pending THEN f.g + 1 ELSE f.g END, CASE WHEN d.n >= 2800 OR f.open + d.n >= 2800 THEN 0 ELSE f.open + d.n END, NOT (d.n >= 2800 OR f.open + d.n >= 2800)
+  FROM f JOIN d ON d.part = f.part AND d.i = f.i + 1),
+e AS (SELECT part, arg_max(g, i) AS lastg, arg_max(pending, i) AS pending FROM f GROUP BY part)
+SELECT f.part, f.doc_id, CASE WHEN e.pending AND e.lastg > 0 AND f.own = e.lastg THEN f.own - 1 ELSE f.own END AS grp FROM f JOIN e USING (part)"""
+)
+def merge_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of short texts: all documents as articles of laws of 500 consecutive ids."""
+    rows = table(spark, sf_dir, "documents").select(F.expr("doc_id div 500").alias("part"), "doc_id", "n_chars")
+    laws = rows.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n_chars"))).alias("a"))
+    groups = structure.merge_groups(F.transform("a", lambda x: x["n_chars"]))
+    return laws.select("part", F.explode(F.arrays_zip(F.transform("a", lambda x: x["doc_id"]).alias("doc_id"), groups.alias("grp"))).alias("z")).select("part", "z.doc_id", "z.grp")
+
+
+@query(
+    """WITH RECURSIVE s AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i, l_linenumber, CAST(l_quantity * 40 AS BIGINT) AS n FROM lineitem),
+f AS (SELECT l_orderkey, l_linenumber, i, 0 AS part, n AS filled FROM s WHERE i = 1
+UNION ALL SELECT s.l_orderkey, s.l_linenumber, s.i, CASE WHEN 20 + f.filled + s.n > 4200 THEN f.part + 1 ELSE f.part END, CASE WHEN 20 + f.filled + s.n > 4200 THEN s.n ELSE f.filled + s.n END
+  FROM f JOIN s ON s.l_orderkey = f.l_orderkey AND s.i = f.i + 1)
+SELECT l_orderkey, l_linenumber, part FROM f"""
+)
+def pack_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing of segments under a size: the lines of each order as clauses."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 40).cast("bigint").alias("n"))
+    held = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "n"))).alias("a"))
+    parts = structure.pack_clauses(F.transform("a", lambda x: x["n"]), F.lit(20))
+    return held.select("l_orderkey", F.explode(F.arrays_zip(F.transform("a", lambda x: x["l_linenumber"]).alias("l_linenumber"), parts.alias("part"))).alias("z")).select("l_orderkey", "z.l_linenumber", "z.part")
+
+
+@query()
+def clause_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record cut at its clauses where it is larger than a chunk."""
+    body = F.concat_ws("\n", "title", "text")
+    rows = table(spark, sf_dir, "records").select("record_id", body.alias("body")).where(F.length("body") > structure.MAX_CHARS)
+    return rows.select("record_id", F.posexplode(structure.split_by_clauses(F.col("body"))).alias("part_no", "part")).select("record_id", "part_no", F.length("part").alias("chars"), tx.doc_hash("part").alias("md5"))
+
+
+@query()
+def overlap_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlap of each chunk with the chunk before in its document, at most 350 characters where sentences allow."""
+    w = Window.partitionBy("document_name").orderBy("chunk_key")
+    rows = table(spark, sf_dir, "chunks").select("chunk_key", "document_name", F.lag("text").over(w).alias("before"))
+    return rows.select("chunk_key", tx.overlap_tail(F.coalesce("before", F.lit("")), structure.OVERLAP_CHARS).alias("overlap"))
+
+
+@query()
+def chunk_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline on the laws' blocks: clean, order, join, extract, merge, split, overlap, ids."""
+    laws = chunking.reconstruct(table(spark, sf_dir, "records"))
+    named = laws.join(table(spark, sf_dir, "laws").select("law_id", "law_name"), "law_id")
+    docs = named.select(F.concat_ws("#", "law_id", F.col("block").cast("string")).alias("law_id"), F.col("law_name").alias("document_name"), "full_text")
+    return chunking.chunk_documents(docs)
+
+
+@query(
+    r"""SELECT chunk_key, p || regexp_extract(document_name, '(\d{4})', 1) || CASE WHEN article_number > 0 THEN printf('_dieu_%03d', article_number) ELSE printf('_chunk_%04d', chunk_key) END AS new_id
+FROM (SELECT *, CASE WHEN contains(n, 'dân sự') THEN 'blds' WHEN contains(n, 'doanh nghiệp') THEN 'ldn' WHEN contains(n, 'trọng tài') THEN 'lttm' WHEN contains(n, 'thương mại') THEN 'ltm'
+  WHEN contains(n, 'lao động') THEN 'blld' WHEN contains(n, 'nhà ở') THEN 'lno' WHEN contains(n, 'bất động sản') OR contains(n, 'kinh doanh bds') THEN 'lkdbds'
+  ELSE array_to_string(list_filter(list_transform(regexp_extract_all(n, '[\p{L}\p{N}\p{M}_]+'), lambda x: substring(x, 1, 1)), lambda x: regexp_full_match(x, '\p{L}')), '') END AS p
+FROM (SELECT chunk_key, document_name, article_number, lower(document_name) AS n FROM chunks))"""
+)
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids from document names and article numbers."""
+    no = F.col("article_number")
+    made = tx.chunk_id(tx.document_prefix("document_name"), no, no, F.lit(False), F.lit(0), F.col("chunk_key"))
+    return table(spark, sf_dir, "chunks").select("chunk_key", made.alias("new_id"))
+
+
+@query(
+    """SELECT chunk_key, md5('[Nguồn: ' || coalesce(source_law_id, '') || CASE WHEN article_number <> 0 THEN ' | Điều ' || article_number ELSE '' END || e']\\n' || coalesce(text, '')) AS md5 FROM chunks"""
+)
+def headered_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chunk's text under its header, by hash."""
+    text = tx.headered(tx.falsy_coalesce("source_law_id"), tx.falsy_coalesce(F.nullif(F.col("article_number"), F.lit(0))), F.lit(""), tx.falsy_coalesce("text"))
+    return table(spark, sf_dir, "chunks").select("chunk_key", tx.doc_hash(text).alias("md5"))
+
+
+@query("SELECT doc_id, md5(text) AS doc_hash FROM documents")
+def doc_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.doc_hash("text").alias("doc_hash"))
+
+
+@query("SELECT chunk_key, md5(text) AS doc_hash FROM chunks WHERE md5(text) NOT IN (SELECT doc_hash FROM index_log WHERE status = 'completed')")
+def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks whose text is not indexed yet."""
+    return indexing.remaining(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "index_log")).select("chunk_key", "doc_hash")
+
+
+@query("SELECT min(chunk_key) AS chunk_key, md5(text) AS doc_hash FROM chunks WHERE md5(text) NOT IN (SELECT doc_hash FROM index_log WHERE status = 'completed') GROUP BY md5(text)")
+def resume_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As resume_anti_join, with equal texts only once."""
+    return indexing.remaining(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "index_log"), once=True).select("chunk_key", "doc_hash")
+
+
+@query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 16)::BIGINT AS batch FROM documents")
+def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY md5(text)")
+def in_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per distinct text, and its copies."""
+    return table(spark, sf_dir, "documents").groupBy(tx.doc_hash("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
+
+
+@query("SELECT chunk_key, log_id, status, attempt, doc_hash FROM index_log WHERE chunk_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_key ORDER BY event_at DESC, log_id DESC) = 1")
+def status_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.latest_status(table(spark, sf_dir, "index_log"))
+
+
+@query("SELECT status, count(*) AS n, count(DISTINCT doc_hash) AS texts FROM index_log GROUP BY status")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "index_log").groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("doc_hash").alias("texts"))
+
+
+@query(
+    """SELECT count(*) AS failed_once, count(*) FILTER (s > 0) AS recovered, count(*) FILTER (s = 0) AS still_failed
+FROM (SELECT chunk_key, count(*) FILTER (status = 'failed') AS f, count(*) FILTER (status = 'completed') AS s FROM index_log WHERE chunk_key IS NOT NULL GROUP BY chunk_key) WHERE f > 0"""
+)
+def retry_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.retry_outcome(table(spark, sf_dir, "index_log"))
+
+
+@query("SELECT coalesce(source_law_id, 'unknown') AS law_id, count(*) AS n FROM chunks GROUP BY ALL")
+def count_by_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chunks").groupBy(F.coalesce("source_law_id", F.lit("unknown")).alias("law_id")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT coalesce(event_type, '?') AS entity_type, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, entity_type")
+def entity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.type_histogram(table(spark, sf_dir, "events"), "event_type")
+
+
+@query(
+    """SELECT law_id AS entity_id, coalesce(legal_domain, 'UNKNOWN') AS entity_type, law_name AS description, '' AS source_id, coalesce(file_name, 'unknown_source') AS file_path, 0 AS created_at, '' AS truncate FROM laws"""
+)
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laws as nodes, with defaults for missing attributes."""
+    laws = table(spark, sf_dir, "laws").select("law_id", F.col("legal_domain").alias("entity_type"), F.col("law_name").alias("description"), F.col("file_name").alias("file_path"))
+    return graph.nodes(laws, "law_id")
+
+
+@query(
+    """SELECT 'rel-' || md5(lower(document_name) || lower(lang)) AS rel_id, document_name AS src_id, lang AS tgt_id, '' AS description, '' AS keywords, count(*)::DOUBLE AS weight, '' AS source_id,
+  'unknown_source' AS file_path, 0 AS created_at, '' AS truncate FROM chunks WHERE lang IS NOT NULL GROUP BY document_name, lang"""
+)
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document names and languages as edges weighted by chunks."""
+    rows = table(spark, sf_dir, "chunks").where("lang is not null").groupBy(F.col("document_name").alias("src_id"), F.col("lang").alias("tgt_id")).agg(F.count("*").cast("double").alias("weight"))
+    return graph.edges(rows)
+
+
+@query(
+    """WITH m AS (SELECT document_name AS entity, coalesce(lang, 'UNKNOWN') AS entity_type, chunk_id AS chunk FROM chunks),
+t AS (SELECT entity, entity_type, count(*) AS n FROM m GROUP BY ALL)
+SELECT t.entity, arg_min(entity_type, (-n, entity_type)) AS entity_type, sum(n)::BIGINT AS mentions, any_value(c.chunks) AS chunks
+FROM t JOIN (SELECT entity, count(DISTINCT chunk) AS chunks FROM m GROUP BY entity) c USING (entity) GROUP BY t.entity"""
+)
+def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of documents in chunks merged: the most frequent language, mentions, chunks."""
+    rows = table(spark, sf_dir, "chunks").select(F.col("document_name").alias("entity"), F.coalesce("lang", F.lit("UNKNOWN")).alias("entity_type"), F.col("chunk_id").alias("chunk"))
+    return graph.merge_mentions(rows)
+
+
+@query("SELECT DISTINCT o_custkey, unnest(list_filter(list_transform(string_split(o_orderstatus || '<SEP> ' || o_orderpriority || '<SEP>', '<SEP>'), lambda x: trim(x)), lambda x: x <> '')) AS chunk_id FROM orders")
+def sep_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joined lists as rows of key and part."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.concat("o_orderstatus", F.lit("<SEP> "), "o_orderpriority", F.lit("<SEP>")).alias("source_id"))
+    return graph.chunk_bridge(rows, "o_custkey")
+
+
+@query(
+    """SELECT c_custkey, 0 AS record_no, 'entity' AS kind, c_name AS name, c_mktsegment AS type_or_target, 'khach' AS description, NULL::DOUBLE AS strength FROM customer
+UNION ALL SELECT c_custkey, 1, 'relationship', c_name, c_mktsegment, 'thuoc', (c_nationkey % 10)::DOUBLE FROM customer"""
+)
+def tuple_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction records of a model parsed: customers written in that format and read back, a broken record left out."""
+    one = F.concat(F.lit('("entity"<|>'), "c_name", F.lit("<|>"), "c_mktsegment", F.lit('<|>khach)##("relationship"<|>'), "c_name", F.lit("<|>"), "c_mktsegment", F.lit("<|>thuoc<|>"), (F.col("c_nationkey") % 10).cast("string"), F.lit(')##("entity"<|>x)'))
+    return graph.parse_extractions(table(spark, sf_dir, "customer").select("c_custkey", one.alias("out")), "c_custkey", "out")
+
+
+@query("SELECT p_partkey, string_split(p_type, ' ')[1] AS high, p_brand AS low FROM part")
+def keyword_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword objects of a model parsed: parts written in that format and read back."""
+    text = F.to_json(F.struct(F.split("p_type", " ").alias("high_level_keywords"), F.array("p_brand").alias("low_level_keywords")))
+    return table(spark, sf_dir, "part").select("p_partkey", graph.parse_keywords(text).alias("k")).select("p_partkey", F.element_at("k.high_level_keywords", 1).alias("high"), F.element_at("k.low_level_keywords", 1).alias("low"))
+
+
+_SCORES = """q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, q.label AS own, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM q JOIN embeddings e ON q.vec_id <> e.vec_id)"""
+
+
+@query(f"WITH {_SCORES} SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every hundredth, exactly."""
+    rows = table(spark, sf_dir, "embeddings")
+    return retrieval.top_k(rows, rows.where("vec_id % 100 = 0"), 5).select("query_id", "vec_id", "rank")
+
+
+@query(
+    f"""WITH {_SCORES}, a AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE label % 2 = 0 QUALIFY rank <= 5),
+b AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE label % 2 = 1 QUALIFY rank <= 5),
+m AS (SELECT query_id, vec_id, min(rank) AS best_rank, count(*) AS levels FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best_rank, levels DESC, vec_id) AS position FROM m QUALIFY position <= 6"""
+)
+def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dual-level retrieval: vectors with even labels as entities, with odd ones as relations."""
+    rows = table(spark, sf_dir, "embeddings")
+    ask = rows.where("vec_id % 100 = 0")
+    return retrieval.dual_level(retrieval.top_k(rows.where("label % 2 = 0"), ask, 5), retrieval.top_k(rows.where("label % 2 = 1"), ask, 5), 6)
+
+
+@query()
+def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for every chunk under the deterministic stand-in for a model."""
+    return retrieval.embed(table(spark, sf_dir, "chunks").select("chunk_key", "text"), "text").select("chunk_key", F.size("embedding").alias("dim"), F.element_at("embedding", 1).alias("first"))
+
+
+@query("SELECT document_name, chunk_id, text, source_law_id AS law_id, article_number, token_count AS estimated_tokens, has_overlap FROM chunks")
+def nested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with nested metadata, flattened again."""
+    return chunking.nested_chunks(table(spark, sf_dir, "chunks")).select("document_name", "chunk_id", "text", "metadata.law_id", "metadata.article_number", "metadata.estimated_tokens", "metadata.has_overlap")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 400 THEN left(text, 400) || '...' ELSE text END AS preview, (length(text) // 3500)::BIGINT AS pages FROM documents")
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.preview("text", 400).alias("preview"), tx.page_estimate("text").alias("pages"))
+
+
+@query(r"SELECT law_id, replace(regexp_replace(regexp_replace(law_name, '[^\p{L}\p{M}\p{N}_\s-]', '', 'g'), '^\s+|\s+$', '', 'g'), ' ', '_') || '.txt' AS file FROM laws")
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "laws").select("law_id", tx.safe_file_name("law_name").alias("file"))
+
+
+@query(
+    "SELECT CASE WHEN length(trim(text)) > 0 THEN 'completed' ELSE 'failed' END AS status, count(*) AS chunks, count(DISTINCT md5(text)) AS texts FROM chunks GROUP BY ALL"
+)
+def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resumable index as a stream over all chunk files; one file is one batch."""
+    return stream_index_report(spark, sf_dir)
