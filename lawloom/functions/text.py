@@ -72,10 +72,15 @@ def token_estimate(c: Column | str, ratio: float = CHARS_PER_TOKEN) -> Column:
     return F.floor(F.length(col(c)) / F.lit(ratio)).cast("int")
 
 
+def whole_number(c: Column) -> Column:
+    """The number that digits stand for, full-width ones included; null for anything else."""
+    return F.translate(c, "０１２３４５６７８９", "0123456789").try_cast("int")
+
+
 def article_ordinal(article_id: Column | str) -> Column:
     """The number behind the last `__` of an article id; 0 where there is none."""
     last = F.element_at(F.split(col(article_id), "__"), -1)
-    return F.coalesce(last.try_cast("int"), F.lit(0))
+    return F.coalesce(whole_number(last), F.lit(0))
 
 
 def document_prefix(name: Column | str) -> Column:

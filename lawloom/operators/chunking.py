@@ -43,33 +43,30 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> Dat
     ordered = arts.groupBy("law_id").agg(F.sort_array(F.collect_list(F.struct("art_ord", "char_count"))).alias("a"))
     groups = ordered.select("law_id", F.posexplode(structure.merge_groups(F.transform("a", lambda x: x["char_count"]), config.min_chars)).alias("art_ord", "grp"))
     members = arts.join(groups, ["law_id", "art_ord"])
-    grouped = members.groupBy("law_id", "grp").agg(
-        F.sort_array(F.collect_list(F.struct("art_ord", "number", "title", "full_text", "chapter", "section"))).alias("m"),
+    sizes = members.groupBy("law_id", "grp").agg(
+        (F.sum("char_count") + 2 * (F.count("*") - 1)).alias("group_chars"), F.count("*").alias("n"), F.min_by("chapter", "art_ord").alias("g_chapter"), F.min_by("section", "art_ord").alias("g_section")
     )
-    joined = F.array_join(F.transform("m", lambda x: x["full_text"]), "\n\n")
-    first = F.element_at("m", 1)
-    whole = F.array(
-        F.struct(
-            F.lit(0).alias("seq"), joined.alias("text"), first["number"].alias("first_no"), F.element_at("m", -1)["number"].alias("last_no"), (F.size("m") > 1).alias("many"),
-            F.when(F.size("m") == 1, first["title"]).otherwise(F.lit("")).alias("title"), first["chapter"].alias("chapter"), first["section"].alias("section"), F.lit(0).alias("sub_part"),
+    sized = members.join(sizes, ["law_id", "grp"])
+    fits = F.col("group_chars") <= config.max_chars
+    # a group within the limit is one chunk; its size bounds what is collected
+    whole = (
+        sized.where(fits)
+        .groupBy("law_id", "grp")
+        .agg(
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("art_ord", "full_text"))), lambda x: x["full_text"]), "\n\n").alias("text"),
+            F.min_by("number", "art_ord").alias("first_no"), F.max_by("number", "art_ord").alias("last_no"), (F.count("*") > 1).alias("many"),
+            F.when(F.count("*") == 1, F.first("title")).otherwise(F.lit("")).alias("title"), F.first("g_chapter").alias("chapter"), F.first("g_section").alias("section"),
         )
+        .withColumns({"seq": F.lit(0), "part": F.lit(0), "sub_part": F.lit(0)})
     )
-    split = F.flatten(
-        F.transform(
-            "m",
-            lambda x: F.transform(
-                structure.split_by_clauses(x["full_text"], config.max_chars),
-                lambda p, j: F.struct(
-                    (x["art_ord"] * 100000 + j).alias("seq"), p.alias("text"), x["number"].alias("first_no"), x["number"].alias("last_no"), F.lit(False).alias("many"),
-                    x["title"].alias("title"), first["chapter"].alias("chapter"), first["section"].alias("section"), (j + 1).alias("sub_part"),
-                ),
-            ),
-        )
+    # of a larger group every article is cut on its own
+    split = structure.with_clause_parts(sized.where(~fits), "full_text", "parts", config.max_chars)
+    pieces = split.select("law_id", "grp", F.col("art_ord").alias("seq"), "number", "title", "g_chapter", "g_section", F.size("parts").alias("k"), F.posexplode("parts").alias("part", "text")).select(
+        "law_id", "grp", "text", F.col("number").alias("first_no"), F.col("number").alias("last_no"), F.lit(False).alias("many"), "title", F.col("g_chapter").alias("chapter"), F.col("g_section").alias("section"),
+        "seq", "part", F.when(F.col("k") > 1, F.col("part") + 1).otherwise(0).alias("sub_part"),
     )
-    raw = grouped.select("law_id", "grp", F.explode(F.when(F.length(joined) > config.max_chars, split).otherwise(whole)).alias("c")).select("law_id", "grp", "c.*")
-    parts = F.count("*").over(Window.partitionBy("law_id", "grp", "first_no", F.when(F.col("many"), F.lit(-1)).otherwise(F.expr("seq div 100000"))))
-    raw = raw.withColumn("sub_part", F.when((F.col("sub_part") > 0) & (parts > 1), F.col("sub_part")).otherwise(0))
-    w = Window.partitionBy("law_id").orderBy("grp", "seq")
+    raw = whole.unionByName(pieces)
+    w = Window.partitionBy("law_id").orderBy("grp", "seq", "part")
     placed = raw.withColumn("chunk_ord", F.row_number().over(w)).withColumn("overlap", tx.overlap_tail(F.lag("text").over(w), config.overlap_chars))
     named = placed.join(docs.select("law_id", "document_name"), "law_id")
     text = tx.wrap_overlap(F.coalesce("overlap", F.lit("")), F.col("text"))

@@ -12,17 +12,21 @@ from ..functions.text import matches, strip
 MIN_CHARS, MAX_CHARS, OVERLAP_CHARS = 2800, 4200, 350
 
 
+def _tagged(text: str, kind: str, pattern: str) -> Column:
+    """Matches of a pattern as structs of kind, position, size and heading."""
+    return F.transform(matches(text, pattern), lambda m: F.struct(F.lit(kind).alias("kind"), m["pos"].alias("pos"), F.length(m["match"]).alias("size"), m["match"].alias("heading")))
+
+
 def headings(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Every article, chapter and section heading of every text: (key, kind, pos, heading), one row each."""
-    kinds = {"article": tx.ARTICLE, "chapter": tx.CHAPTER, "section": tx.SECTION}
-    found = F.concat(*[F.transform(matches(text, p), lambda m, k=k: F.struct(F.lit(k).alias("kind"), m["pos"].alias("pos"), m["match"].alias("heading"))) for k, p in kinds.items()])
+    found = F.concat(*[_tagged(text, k, p) for k, p in (("article", tx.ARTICLE), ("chapter", tx.CHAPTER), ("section", tx.SECTION))])
     return texts.select(F.col(key), F.explode(found).alias("h")).select(key, "h.kind", "h.pos", "h.heading")
 
 
 def markers(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Positions of all five kinds of structural markers, with the characters around each."""
     kinds = {"article": tx.ARTICLE, "chapter": tx.CHAPTER, "section": tx.SECTION, "clause": tx.CLAUSE, "point": tx.POINT}
-    found = F.concat(*[F.transform(matches(text, p), lambda m, k=k: F.struct(F.lit(k).alias("kind"), m["pos"].alias("pos"), F.length(m["match"]).alias("size"))) for k, p in kinds.items()])
+    found = F.concat(*[_tagged(text, k, p) for k, p in kinds.items()])
     rows = texts.select(key, F.col(text).alias("_t"), F.explode(found).alias("h"))
     return rows.select(key, "h.kind", "h.pos", F.substring(F.col("_t"), F.col("h.pos") + 1, F.col("h.size") + 20).alias("context"))
 
@@ -46,17 +50,17 @@ def extract_articles(texts: DataFrame, key: str, text: str) -> DataFrame:
     ups = {k: matches("_t", p) for k, p in (("chapter", tx.CHAPTER), ("section", tx.SECTION))}
     held = base.withColumn("_a", arts).withColumn("_c", ups["chapter"]).withColumn("_s", ups["section"])
     n = F.size("_a")
-    last_before = lambda found, pos: F.coalesce(strip(F.element_at(F.filter(found, lambda h: h["pos"] <= pos), -1)["match"]), F.lit(""))
+    last_before = lambda found, pos: F.coalesce(strip(F.try_element_at(F.filter(found, lambda h: h["pos"] <= pos), F.lit(-1))["match"]), F.lit(""))
     blocks = F.when(
         n > 0,
         F.transform(
             F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
             lambda i: F.struct(
-                F.regexp_extract(F.element_at("_a", i)["match"], r"(?U)Điều\s+(\d+)", 1).cast("int").alias("number"),
-                strip(F.regexp_extract(F.element_at("_a", i)["match"], r"(?U)Điều\s+\d+[\.:]\s*(.*)", 1)).alias("title"),
-                strip(F.substring(F.col("_t"), F.element_at("_a", i)["pos"] + 1, F.coalesce(F.try_element_at("_a", i + 1)["pos"], F.length("_t")) - F.element_at("_a", i)["pos"])).alias("full_text"),
-                last_before(F.col("_c"), F.element_at("_a", i)["pos"]).alias("chapter"),
-                last_before(F.col("_s"), F.element_at("_a", i)["pos"]).alias("section"),
+                F.coalesce(tx.whole_number(F.regexp_extract(F.try_element_at(F.col("_a"), i)["match"], r"(?U)Điều\s+(\d+)", 1)), i).alias("number"),
+                strip(F.regexp_extract(F.try_element_at(F.col("_a"), i)["match"], r"(?U)Điều\s+\d+[\.:]\s*(.*)", 1)).alias("title"),
+                strip(F.substring(F.col("_t"), F.try_element_at(F.col("_a"), i)["pos"] + 1, F.coalesce(F.try_element_at(F.col("_a"), i + 1)["pos"], F.length("_t")) - F.try_element_at(F.col("_a"), i)["pos"])).alias("full_text"),
+                last_before(F.col("_c"), F.try_element_at(F.col("_a"), i)["pos"]).alias("chapter"),
+                last_before(F.col("_s"), F.try_element_at(F.col("_a"), i)["pos"]).alias("section"),
             ),
         ),
     ).otherwise(F.array(F.struct(F.lit(0).alias("number"), F.lit("(Toàn văn)").alias("title"), F.col("_t").alias("full_text"), F.lit("").alias("chapter"), F.lit("").alias("section"))))
@@ -100,19 +104,27 @@ def pack_clauses(sizes: Column, header: Column, most: int = MAX_CHARS) -> Column
     return F.aggregate(F.transform(sizes, lambda s: s.cast("bigint")), zero, step, lambda acc: acc["out"])
 
 
-def split_by_clauses(text: Column, most: int = MAX_CHARS) -> Column:
-    """Parts of an article cut at its numbered clauses, each under the article's header; whole if there are fewer than two."""
-    found = matches(text, tx.CLAUSE)
-    n = F.size(found)
-    header = strip(F.left(text, F.element_at(found, 1)["pos"]))
-    segments = F.transform(F.sequence(F.lit(1), n), lambda i: strip(F.substring(text, F.element_at(found, i)["pos"] + 1, F.coalesce(F.try_element_at(found, i + 1)["pos"], F.length(text)) - F.element_at(found, i)["pos"])))
-    parts = pack_clauses(F.transform(segments, lambda s: F.length(s)), F.length(header), most)
-    tagged = F.zip_with(parts, segments, lambda p, s: F.struct(p.alias("p"), s.alias("s")))
+def with_clause_parts(rows: DataFrame, text: str, out: str, most: int = MAX_CHARS) -> DataFrame:
+    """The rows with an array of parts of the text, cut at its numbered clauses, each under the article's header; the
+    whole text if there are fewer than two clauses. Built in steps, so that each is computed once per row."""
+    at = lambda i: F.try_element_at(F.col("_found"), i)["pos"]
+    segments = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("_found"), F.lit(1))),
+        lambda i: strip(F.substring(F.col(text), at(i) + 1, F.coalesce(at(i + 1), F.length(text)) - at(i))),
+    )
     built = F.transform(
-        F.sequence(F.lit(0), F.array_max(parts)),
-        lambda p: F.concat_ws("\n", F.when(F.length(header) > 0, header), F.array_join(F.transform(F.filter(tagged, lambda x: x["p"] == p), lambda x: x["s"]), "\n")),
+        F.sequence(F.lit(0), F.coalesce(F.array_max("_parts"), F.lit(0))),
+        lambda p: F.concat_ws("\n", F.when(F.length("_header") > 0, F.col("_header")), F.array_join(F.transform(F.filter("_tagged", lambda x: x["p"] == p), lambda x: x["s"]), "\n")),
+    )
+    return (
+        rows.withColumn("_found", matches(text, tx.CLAUSE))
+        .withColumn("_header", strip(F.left(F.col(text), at(F.lit(1)))))
+        .withColumn("_segments", segments)
+        .withColumn("_parts", pack_clauses(F.transform("_segments", lambda x: F.length(x)), F.length("_header"), most))
+        .withColumn("_tagged", F.zip_with("_parts", "_segments", lambda p, x: F.struct(p.alias("p"), x.alias("s"))))
+        .withColumn(out, F.when(F.size("_found") >= 2, built).otherwise(F.array(F.col(text))))
+        .drop("_found", "_header", "_segments", "_parts", "_tagged")
     )
-    return F.when(n >= 2, built).otherwise(F.array(text))
 
 
 def spans(rows: DataFrame, key: str, order: str, length: Column) -> DataFrame:

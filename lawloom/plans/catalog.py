@@ -201,7 +201,7 @@ def merge_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE s AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i, l_linenumber, CAST(l_quantity * 40 AS BIGINT) AS n FROM lineitem),
+    """WITH RECURSIVE s AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS i, l_linenumber, CAST(l_quantity * 40 AS BIGINT) AS n FROM lineitem),
 f AS (SELECT l_orderkey, l_linenumber, i, 0 AS part, n AS filled FROM s WHERE i = 1
 UNION ALL SELECT s.l_orderkey, s.l_linenumber, s.i, CASE WHEN 20 + f.filled + s.n > 4200 THEN f.part + 1 ELSE f.part END, CASE WHEN 20 + f.filled + s.n > 4200 THEN s.n ELSE f.filled + s.n END
   FROM f JOIN s ON s.l_orderkey = f.l_orderkey AND s.i = f.i + 1)
@@ -217,10 +217,9 @@ def pack_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clause_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record cut at its clauses where it is larger than a chunk."""
-    body = F.concat_ws("\n", "title", "text")
-    rows = table(spark, sf_dir, "records").select("record_id", body.alias("body")).where(F.length("body") > structure.MAX_CHARS)
-    return rows.select("record_id", F.posexplode(structure.split_by_clauses(F.col("body"))).alias("part_no", "part")).select("record_id", "part_no", F.length("part").alias("chars"), tx.doc_hash("part").alias("md5"))
+    """Every chunk larger than the limit cut at its clauses."""
+    rows = table(spark, sf_dir, "chunks").select("chunk_key", "text").where(F.length("text") > structure.MAX_CHARS)
+    return structure.with_clause_parts(rows, "text", "parts").select("chunk_key", F.posexplode("parts").alias("part_no", "part")).select("chunk_key", "part_no", F.length("part").alias("chars"), tx.doc_hash("part").alias("md5"))
 
 
 @query()
