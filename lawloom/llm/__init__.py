@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import abuse, budget, leakage, lookalike, packing, sentences, splitting
+    from . import abuse, budget, encoding, leakage, lookalike, packing, sentences, splitting
 
-    return (lookalike, budget, splitting, sentences, packing, leakage, abuse)
+    return (lookalike, budget, splitting, sentences, encoding, packing, leakage, abuse)
 
 
 def queries() -> dict:
