@@ -15,6 +15,7 @@ independently; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -51,6 +52,10 @@ _WORD = re.compile(r"[^\W\d_]+(?:\.[^\W\d_]+)*\.?|\d+(?:[.,]\d+)*|\S")
 _LAST = re.compile(r"[^\s“”«»„「」『』\"()（）\[\]，。、：；]+$|\S$")
 _THAI = re.compile(r"[฀-๿]")
 _CASELESS = re.compile(r"[؀-ۿऀ-ॿ฀-๿ក-៿぀-ヿ㐀-鿿]")
+_JOINED = re.compile(r"(\d{1,3})\.\s+(?=\S)|([a-zđ])\)\s+")
+_INLINE = re.compile(r"(?<=\S)\s+(?:(\d{1,3})\.|([a-zđ])\))\s+(?=\S)")
+_NUMBER_FIRST = re.compile(r"(?:^|[.!?…。！？;:।៕។”»\"“]\s+)\d{1,3}$")
+_HEADING_FIRST = re.compile(rf"(?:^|[.!?…。！？।៕។”»\"]\s+)(?:{_HEADING.pattern.split('|第')[0]})$", re.I)
 _ROW = re.compile(r"^[^\n]*(?:\|[^\n]*\||\t[^\n]*\t)|^[!-~]*\d[!-~]*[,;/][!-~]*$")
 
 
@@ -124,7 +129,7 @@ def candidates(text: str, abbreviations: frozenset, negatives: bool = False) ->
         while body < end and text[body].isspace():
             body += 1
         nxt = _token_after(text, body)
-        thai = len(_THAI.findall(line)) * 3 > len(line)
+        thai = not line.isascii() and len(_THAI.findall(line)) * 3 > len(line)
         if before is None or previous in (OVERLAP_OPEN, OVERLAP_CLOSE):
             out.append(Candidate(start, "L", [], None, 1))
         else:
@@ -132,7 +137,8 @@ def candidates(text: str, abbreviations: frozenset, negatives: bool = False) ->
             prev = _token_before(text, before[1])
             bare = prev.rstrip(".").lower()
             tail = previous[-1]
-            ended = bool(_TERMINAL.search(previous[-4:])) and _TERMINAL.search(previous[-4:]).end() == len(previous[-4:])
+            final = _TERMINAL.search(previous[-4:])
+            ended = bool(final) and final.end() == len(previous[-4:])
             refers = bare in REFERENCE_WORDS or bool(re.search(r"(?:khoản|điểm|abs\.?|al\.?)\s*\d+,?$", previous, re.I))
             forced = None
             if any(a < start < b for a, b in spans):
@@ -145,16 +151,18 @@ def candidates(text: str, abbreviations: frozenset, negatives: bool = False) ->
                 forced = 1
             elif _HEADING.match(previous) and len(previous) < 120 and _shape(line) != "l" and not ended:
                 forced = 1
-            features = ["k=L", *_pair(prev, _token_after(text, start), abbreviations), f"e={ended}", f"t={tail if not tail.isalnum() else 'w'}", f"h={bool(heading)}", f"es={ended}{_shape(line)}"]
             label = forced
             if label is None and _shape(line) == "l":
                 label = 0
             elif label is None and ended and bare not in abbreviations and _shape(line) == "U":
                 label = 1
-            if marker and forced == 1:  # train on the words behind the number
+            features = []
+            if negatives or label is None:
+                features = ["k=L", *_pair(prev, _token_after(text, start), abbreviations), f"e={ended}", f"t={tail if not tail.isalnum() else 'w'}", f"h={bool(heading)}", f"es={ended}{_shape(line)}"]
+            if negatives and marker and forced == 1:  # train on the words behind the number
                 features = ["k=L", *_pair(prev, nxt, abbreviations), f"e={ended}", f"t={tail if not tail.isalnum() else 'w'}", "h=False", f"es={ended}{_shape(nxt)}"]
             out.append(Candidate(start, "L", features, label, forced))
-            if ended and forced == 1 and not row:  # a reliable end by a mark, for the marks within lines
+            if negatives and ended and forced == 1 and not row:  # a reliable end by a mark, for the marks within lines
                 out.append(Candidate(-1, "T", _mark_features(text, before[1], before[0], prev, nxt, "e", spans, abbreviations), 1))
         if marker and marker.group(1):
             number = int(marker.group(1))
@@ -177,26 +185,27 @@ def candidates(text: str, abbreviations: frozenset, negatives: bool = False) ->
                 continue
             if not blank and mark in "!?…" and text[at] in ",;:":
                 continue
-            joined = re.match(r"(\d{1,3})\.\s+(?=\S)|([a-zđ])\)\s+", text[at : at + 8])
+            joined = _JOINED.match(text, at, min(end, at + 8)) if text[at].isdigit() or text[at + 1 : at + 2] == ")" else None
             prev = _token_before(text, m.start() + 1 if mark == "." else m.start())
             nxt = _token_after(text, at)
             bare = prev.rstrip(".").lower()
-            features = _mark_features(text, mark_end, start, prev, nxt, mark, spans, abbreviations)
+            quoted = next(((a, b) for a, b in spans if b == mark_end), None)
+            colon = bool(quoted) and text[max(0, quoted[0] - 3) : quoted[0]].rstrip()[-1:] in (":", "：")
             forced = label = None
             if joined and bare not in REFERENCE_WORDS:
                 forced = 1
                 if joined.group(1):
                     number = int(joined.group(1))
-            elif _joined_number(text, m, start):
+            elif m.start() and text[m.start() - 1].isalnum() and not text[m.start() - 1].islower() and _joined_number(text, m, start):
                 forced = 0  # the point of a clause number
             elif mark in "。！？।៕។" and m.group(0)[-1] in "。！？।៕។":
                 forced = 1
             elif _shape(nxt) == "l" or nxt[:1] in ",;:)" or (mark == "…" and nxt[:1] in CONTINUES):
                 label = 0
-            elif "c=True" in features and _shape(nxt) == "U":
+            elif colon and _shape(nxt) == "U":
                 forced = 1  # reported speech that closes its sentence
-            elif _shape(nxt) == "a" and any(b == mark_end for _, b in spans):
-                label = int("c=True" in features)
+            elif _shape(nxt) == "a" and quoted:
+                label = int(colon)
             elif _shape(nxt) == "a" and _CASELESS.search(prev) and bare not in abbreviations:
                 label = 1
             elif bare in abbreviations and len(bare) <= 5 and _shape(nxt) == "d":
@@ -207,9 +216,11 @@ def candidates(text: str, abbreviations: frozenset, negatives: bool = False) ->
                 label = 0
             elif bare in abbreviations and _never_last(bare, abbreviations):
                 label = 0
-            out.append(Candidate(at, "T", features, forced if forced is not None else label, forced))
+            label = forced if forced is not None else label
+            features = _mark_features(text, mark_end, start, prev, nxt, mark, spans, abbreviations) if negatives or label is None else []
+            out.append(Candidate(at, "T", features, label, forced))
         # clause numbers and letters joined to the line before without a mark
-        for m in re.finditer(r"(?<=\S)\s+(?:(\d{1,3})\.|([a-zđ])\))\s+(?=\S)", line):
+        for m in _INLINE.finditer(line):
             at = start + m.start() + len(m.group(0)) - len(m.group(0).lstrip())
             if any(a < at < b for a, b in spans):
                 continue
@@ -241,7 +252,7 @@ def _never_last(bare: str, abbreviations: frozenset) -> bool:
 def _joined_number(text: str, m: re.Match, start: int) -> bool:
     """Whether this point closes a clause number or a heading's number that stands at the start of a sentence."""
     left = text[max(start, m.start() - 30) : m.start()]
-    return bool(re.search(r"(?:^|[.!?…。！？;:।៕។”»\"“]\s+)\d{1,3}$", left) or re.search(rf"(?:^|[.!?…。！？।៕។”»\"]\s+)(?:{_HEADING.pattern.split('|第')[0]})$", left, re.I))
+    return bool(_NUMBER_FIRST.search(left) or _HEADING_FIRST.search(left))
 
 
 def _mark_features(text: str, mark_end: int, start: int, prev: str, nxt: str, mark: str, spans: list, abbreviations: frozenset) -> list[str]:
@@ -252,7 +263,12 @@ def _mark_features(text: str, mark_end: int, start: int, prev: str, nxt: str, ma
 
 
 def _hash(features: list[str]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(f.encode()) % WIDTH for f in features), np.int32, len(features))
+    return np.fromiter(map(_bucket, features), np.int32, len(features))
+
+
+@functools.lru_cache(maxsize=200_000)
+def _bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % WIDTH
 
 
 def fit(rows: list[tuple[int, list[int]]], epochs: int = 12, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
@@ -285,7 +301,9 @@ def split_sentences(text: str, weights: np.ndarray, abbreviations: frozenset) ->
     for c in candidates(text, abbreviations):
         if c.at < 0:
             continue
-        yes = c.forced == 1 if c.forced is not None else weights[_hash(c.features)].sum() > 0
+        # a reliable answer stands, the model gives the others
+        answer = c.forced if c.forced is not None else c.label
+        yes = answer == 1 if answer is not None else weights[_hash(c.features)].sum() > 0
         if yes:
             starts.add(c.at)
     markers = [(m.start(), m.end()) for m in re.finditer(rf"^[ \t]*(?:{re.escape(OVERLAP_OPEN)}|{re.escape(OVERLAP_CLOSE)})[ \t]*$", text, re.M)]
