@@ -38,15 +38,21 @@ def missing_laws(records: DataFrame, laws: DataFrame) -> DataFrame:
 
 def text_files(spark: SparkSession, folder: str, laws: DataFrame) -> DataFrame:
     """Article records of the text files that the registry names; files that are missing or not named give none."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder).select(F.col("_metadata.file_name").alias("file_name"), tx.clean_text("value").alias("body"))
+    files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), tx.clean_text("value").alias("body"))
     named = files.join(laws.where("file_name is not null").select("file_name", "law_id", "law_name"), "file_name")
     found = tx.matches("body", tx.ARTICLE)
     cuts = named.withColumn("m", found).where(F.size("m") > 0)
-    rows = cuts.select("law_id", "law_name", "body", "m", F.posexplode("m").alias("i", "h"))
-    end = F.coalesce(F.try_element_at("m", F.col("i") + 2)["pos"], F.length("body"))
-    block = tx.strip(F.substring(F.col("body"), F.col("h.pos") + 1, end - F.col("h.pos")))
+    # each heading with the text up to the next one
+    blocks = F.transform(
+        "m",
+        lambda h, i: F.struct(
+            h["match"].alias("match"),
+            tx.strip(F.substring(F.col("body"), h["pos"] + 1, F.coalesce(F.try_element_at(F.col("m"), i + 2)["pos"], F.length("body")) - h["pos"])).alias("block"),
+        ),
+    )
+    rows = cuts.withColumn("b", blocks).select("law_id", F.explode("b").alias("h"))
     number = F.regexp_extract("h.match", r"(?U)Điều\s+(\d+)", 1)
-    text = F.when(F.instr(block, "\n") > 0, tx.strip(F.substring(block, F.instr(block, "\n") + 1, F.length(block)))).otherwise(F.lit(""))
+    text = tx.strip(F.coalesce(F.try_element_at(F.split(F.col("h.block"), "\n", 2), F.lit(2)), F.lit("")))
     return rows.select("law_id", F.concat("law_id", F.lit("__"), number).alias("article_id"), tx.strip("h.match").alias("title"), text.alias("text"))
 
 
@@ -55,7 +61,7 @@ def chunk_file(spark: SparkSession, path: str) -> DataFrame:
 
     Elements that are no objects and values that are no arrays are left out; the law id of the last shape is the key.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("v"))
+    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
     item = f"array<struct<{', '.join(p.strip().replace(' ', ':', 1) for p in _fields(CHUNK_FIELDS))}>>"
     bare = raw.where(F.col("v").startswith("[")).select(F.lit(None).cast("string").alias("key"), F.from_json("v", item).alias("c"))
     objects = raw.where(F.col("v").startswith("{"))
