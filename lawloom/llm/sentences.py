@@ -15,6 +15,7 @@ independently; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 import zlib
@@ -115,6 +116,13 @@ def _pair(prev: str, nxt: str, abbreviations: frozenset) -> list[str]:
 def candidates(text: str, abbreviations: frozenset, negatives: bool = False) -> list[Candidate]:
     """All candidates of a text in order. `negatives` adds plain blanks within lines, for training only."""
     spans = [(m.start(), m.end()) for m in _QUOTE.finditer(text) if "\n\n" not in m.group(0)]
+    opens = [a for a, _ in spans]
+
+    def inside(at: int) -> bool:
+        """Whether a place lies within a quotation; quotations do not overlap."""
+        i = bisect.bisect_left(opens, at) - 1
+        return i >= 0 and at < spans[i][1]
+
     out: list[Candidate] = []
     lines = _line_spans(text)
     number = 0  # the last clause number
@@ -141,7 +149,7 @@ def candidates(text: str, abbreviations: frozenset, negatives: bool = False) ->
             ended = bool(final) and final.end() == len(previous[-4:])
             refers = bare in REFERENCE_WORDS or bool(re.search(r"(?:khoản|điểm|abs\.?|al\.?)\s*\d+,?$", previous, re.I))
             forced = None
-            if any(a < start < b for a, b in spans):
+            if inside(start):
                 forced = 0
             elif gap > 1 or row or _ROW.match(previous) or thai or _shape(nxt) == "a" and _shape(line) != "l":
                 forced = 1
@@ -177,10 +185,16 @@ def candidates(text: str, abbreviations: frozenset, negatives: bool = False) ->
             at = mark_end
             while at < end and text[at].isspace():
                 at += 1
-            if at >= end or any(a < at < b for a, b in spans):
+            if at >= end or inside(at):
                 continue
             blank = at > mark_end
             mark = m.group(1)[0]
+            if not negatives:  # what needs no look at the tokens around
+                if text[at].islower() and text[at + 1 : at + 2] != ")":
+                    continue
+                if mark in "。！？।៕។" and m.group(0)[-1] == m.group(1)[-1] and not text[at].isdigit():
+                    out.append(Candidate(at, "T", [], 1, 1))
+                    continue
             if not blank and mark == "." and len(m.group(0)) == 1 and (not text[at].isupper() or not text[m.start() - 1].islower() or text[m.start() - 2 : m.start() - 1] in (".", " ", "")):
                 continue
             if not blank and mark in "!?…" and text[at] in ",;:":
@@ -189,7 +203,8 @@ def candidates(text: str, abbreviations: frozenset, negatives: bool = False) ->
             prev = _token_before(text, m.start() + 1 if mark == "." else m.start())
             nxt = _token_after(text, at)
             bare = prev.rstrip(".").lower()
-            quoted = next(((a, b) for a, b in spans if b == mark_end), None)
+            i = bisect.bisect_left(opens, mark_end) - 1
+            quoted = spans[i] if i >= 0 and spans[i][1] == mark_end else None
             colon = bool(quoted) and text[max(0, quoted[0] - 3) : quoted[0]].rstrip()[-1:] in (":", "：")
             forced = label = None
             if joined and bare not in REFERENCE_WORDS:
@@ -222,7 +237,7 @@ def candidates(text: str, abbreviations: frozenset, negatives: bool = False) ->
         # clause numbers and letters joined to the line before without a mark
         for m in _INLINE.finditer(line):
             at = start + m.start() + len(m.group(0)) - len(m.group(0).lstrip())
-            if any(a < at < b for a, b in spans):
+            if inside(at):
                 continue
             left = line[: m.start()].rstrip()
             if m.group(2) and left[-1:] in ";:":
@@ -234,7 +249,7 @@ def candidates(text: str, abbreviations: frozenset, negatives: bool = False) ->
             for m in re.finditer(r"(?<=\S)[  ]+(?=\S)", line):
                 at = start + m.end()
                 left = line[: m.start()]
-                if any(a < at < b for a, b in spans) or re.search(r"(?:^|[  ])(?:\d{1,3}\.|[a-z]\))$|มาตรา(?:\s+\d+)?$|^\(?\d+\)$", left):
+                if inside(at) or re.search(r"(?:^|[  ])(?:\d{1,3}\.|[a-z]\))$|มาตรา(?:\s+\d+)?$|^\(?\d+\)$", left):
                     continue
                 out.append(Candidate(at, "S", [], None, 1))
         elif negatives and not thai:
@@ -306,11 +321,11 @@ def split_sentences(text: str, weights: np.ndarray, abbreviations: frozenset) ->
         yes = answer == 1 if answer is not None else weights[_hash(c.features)].sum() > 0
         if yes:
             starts.add(c.at)
-    markers = [(m.start(), m.end()) for m in re.finditer(rf"^[ \t]*(?:{re.escape(OVERLAP_OPEN)}|{re.escape(OVERLAP_CLOSE)})[ \t]*$", text, re.M)]
+    markers = [] if OVERLAP_OPEN not in text and OVERLAP_CLOSE not in text else [(m.start(), m.end()) for m in re.finditer(rf"^[ \t]*(?:{re.escape(OVERLAP_OPEN)}|{re.escape(OVERLAP_CLOSE)})[ \t]*$", text, re.M)]
     edges = sorted(starts)
     out = []
     for a, b in zip(edges, [*edges[1:], len(text)]):
-        stop = min((m for m, _ in markers if m >= a), default=b)
+        stop = min((m for m, _ in markers if m >= a), default=b) if markers else b
         end = min(b, stop)
         end = a + len(text[a:end].rstrip())
         if end > a:
