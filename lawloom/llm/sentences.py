@@ -73,8 +73,15 @@ def _shape(token: str) -> str:
 
 
 def _token_before(text: str, end: int) -> str:
-    m = _LAST.search(text[max(0, end - 40) : end].rstrip())
-    return re.split(r"['’](?=.)", m.group(0))[-1] if m else ""
+    held = text[max(0, end - 40) : end].split()
+    if not held:
+        return ""
+    word = held[-1]
+    if word.isalnum():
+        return word
+    m = _LAST.search(word)
+    word = m.group(0) if m else ""
+    return re.split(r"['’](?=.)", word)[-1] if "'" in word or "’" in word else word
 
 
 def _token_after(text: str, at: int) -> str:
@@ -180,7 +187,7 @@ def candidates(text: str, abbreviations: frozenset, negatives: bool = False) ->
         head = body if (marker or heading) else start
         for m in _TERMINAL.finditer(text, head, end):
             mark_end = m.end()
-            if mark_end >= end:
+            if mark_end >= end or (text[mark_end].isdigit() and text[mark_end - 1] == "."):
                 continue
             at = mark_end
             while at < end and text[at].isspace():
@@ -286,7 +293,7 @@ def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode()) % WIDTH
 
 
-def fit(rows: list[tuple[int, list[int]]], epochs: int = 12, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
+def fit(rows: list[tuple[int, list[int]]], epochs: int = 8, rate: float = 0.5, decay: float = 1e-6) -> np.ndarray:
     """Maximum-entropy weights (binary, so logistic) by adaptive gradient steps on hashed features."""
     w = np.zeros(WIDTH)
     if not rows:
@@ -372,8 +379,8 @@ def train(df: DataFrame, abbreviations: frozenset, id_col: str = "chunk_key", te
 SENTENCE_SCHEMA = "chunk_key bigint, sentence_no int, start_char int, end_char int, sentence string"
 
 
-def sentences(df: DataFrame, id_col: str = "chunk_key", text_col: str = "text") -> DataFrame:
-    """Every sentence of every chunk, in order, with its place in the text."""
+def sentences(df: DataFrame, id_col: str = "chunk_key", text_col: str = "text", with_text: bool = True) -> DataFrame:
+    """Every sentence of every chunk, in order, with its place in the text; places only, without `with_text`."""
     abbreviations = find_abbreviations(df, text_col)
     weights = train(df, abbreviations, id_col, text_col)
     sent = df.sparkSession.sparkContext.broadcast((weights, abbreviations))
@@ -383,7 +390,7 @@ def sentences(df: DataFrame, id_col: str = "chunk_key", text_col: str = "text")
         for batch in batches:
             rows = []
             for key, text in zip(batch["k"], batch["t"]):
-                rows += [(key, i, a, b, text[a:b]) for i, (a, b) in enumerate(split_sentences(text, weights, abbreviations), 1)]
+                rows += [(key, i, a, b, text[a:b] if with_text else None) for i, (a, b) in enumerate(split_sentences(text, weights, abbreviations), 1)]
             yield pd.DataFrame(rows, columns=["chunk_key", "sentence_no", "start_char", "end_char", "sentence"])
 
     return df.select(F.col(id_col).cast("bigint").alias("k"), F.col(text_col).alias("t")).where(F.col("t").isNotNull()).mapInPandas(run, SENTENCE_SCHEMA)
@@ -394,7 +401,7 @@ def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p4_sentences(spark, sf_dir).select("chunk_key", "start_char")
+    return sentences(table(spark, sf_dir, "chunks"), with_text=False).select("chunk_key", "start_char")
 
 
 def p4_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
