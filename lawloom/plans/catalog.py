@@ -232,11 +232,10 @@ def overlap_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole pipeline on the laws' blocks: clean, order, join, extract, merge, split, overlap, ids."""
+    """The whole pipeline on the laws: clean, order, join, extract, merge, split, overlap, ids."""
     laws = chunking.reconstruct(table(spark, sf_dir, "records"))
     named = laws.join(table(spark, sf_dir, "laws").select("law_id", "law_name"), "law_id")
-    docs = named.select(F.concat_ws("#", "law_id", F.col("block").cast("string")).alias("law_id"), F.col("law_name").alias("document_name"), "full_text")
-    return chunking.chunk_documents(docs)
+    return chunking.chunk_documents(named.select("law_id", "block", F.col("law_name").alias("document_name"), "full_text"))
 
 
 @query(

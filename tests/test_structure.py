@@ -1,9 +1,11 @@
 """Articles, groups and chunks against plain loops and worked cases."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from lawloom.functions import text as tx
 from lawloom.operators import chunking, structure
 
 
@@ -66,3 +68,51 @@ def test_reconstruct_orders_articles(spark):
     rows = [(1, "l", "l__10", "T10", "b"), (2, "l", "l__2", "T2", None), (3, "l", "l__x", None, "a"), (4, "l", "l__3", "", "")]
     df = spark.createDataFrame(rows, "record_id bigint, law_id string, article_id string, title string, text string")
     assert chunking.reconstruct(df).first()["full_text"] == "a\n\nT2\n\nT10\nb"
+
+
+def _reference_chunks(text, least=2800, most=4200):
+    """Number, title, chapter, section and text of the chunks by the plain loop over a law's whole text."""
+    arts, ups = list(re.finditer(tx.ARTICLE, text, re.M)), [[(m.start(), m.group().strip()) for m in re.finditer(p, text, re.M)] for p in (tx.CHAPTER, tx.SECTION)]
+    blocks = [(0, "(Toàn văn)", "", "", text)]
+    if arts:
+        blocks = []
+        for m, nxt in zip(arts, [*arts[1:], None]):
+            number, title = re.match(r"Điều\s+(\d+)[\.:]\s*(.*)", m.group()).groups()
+            context = (([h for at, h in u if at <= m.start()] or [""])[-1] for u in ups)
+            blocks.append((int(number), title.strip(), *context, text[m.start() : nxt.start() if nxt else None].strip()))
+    groups, held = [], []
+    for b in blocks:
+        if len(b[4]) >= least and held:
+            groups, held = [*groups, held], []
+        held.append(b)
+        if sum(len(x[4]) for x in held) >= least:
+            groups, held = [*groups, held], []
+    if held and groups:
+        groups[-1] = groups[-1] + held
+    elif held:
+        groups.append(held)
+    out = []
+    for g in groups:
+        joined = "\n\n".join(b[4] for b in g)
+        out += [(b[0], b[1], b[2], b[3], b[4]) for b in g] if len(joined) > most else [(g[0][0], g[0][1] if len(g) == 1 else "", g[0][2], g[0][3], joined)]
+    return out
+
+
+def test_chunks_of_a_law_in_blocks(spark):
+    rng, rows = random.Random(5), []
+    for n in range(1, 1301):
+        head = {1: "Lời nói đầu", 499: "Chương IX", 500: f"Điều {n}. Ngay sau chương", 999: "Điều 999.", 1000: "thành tên của điều trước"}.get(n)
+        head = head or ("Phần tiếp không có tên" if n in (2, 501, 998, 1001, 1002) or n % 7 == 0 else f"Điều {n}. Tên")
+        body = "" if n in (499, 999) else "Câu văn số một. " * rng.choice((1, 8, 30, 60, 190)) + (f"\nMục {n}. M" if n % 90 == 0 else "") + (f"\nChương {n}. C" if n % 210 == 0 else "")
+        rows.append((n, "big", f"big__{n}", head, body))
+    rows += [(2000 + n, "none", f"none__{n}", f"Không có điều {n}", "x") for n in (3, 700, 1600)] + [(3000, "minus", "minus__-1", "trước", ""), (3001, "minus", "minus__0", "Điều 1. sau", "")]
+    df = spark.createDataFrame(rows, "record_id bigint, law_id string, article_id string, title string, text string")
+    got, whole = ([r for r in chunking.chunk_documents(chunking.reconstruct(df, n).withColumn("document_name", F.lit("Luật Nhà ở 2014"))).orderBy("source_law_id", "chunk_ord").collect()] for n in (500, 1_000_000))
+    assert got == whole and {r["source_law_id"] for r in got} == {"big", "none", "minus"}
+    texts = {r["law_id"]: r["full_text"] for r in chunking.reconstruct(df, 1_000_000).where("block = 0 or law_id <> 'minus'").collect()}
+    for law in ("big", "none"):
+        own = [r for r in got if r["source_law_id"] == law]
+        assert [r["chunk_ord"] for r in own] == list(range(1, len(own) + 1)) and [r["has_overlap"] for r in own] == [False] + [True] * (len(own) - 1)
+        bare = [(r["article_number"], r["article_title"], r["chapter_context"], r["section_context"], r["text"].split(tx.OVERLAP_TAIL)[-1]) for r in own]
+        assert bare == _reference_chunks(texts[law])
+    assert got[0]["chunk_id"].startswith("lno2014_dieu_003") and sum("Chương IX\n\nĐiều 500" in r["chapter_context"] for r in got) > 0
