@@ -16,6 +16,7 @@ columns are ignored, whatever their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -65,8 +66,29 @@ def _mapping() -> dict[int, str | None]:
 
 
 _MAP = _mapping()
-#: The part of the map that changes no letter of any script: what a clean form may always apply.
-_SAFE = {c: v for c, v in _MAP.items() if v is None or chr(c) not in SAME_SHAPE}
+#: Blocks of the scripts that share shapes with Latin letters.
+_SCRIPTS = {"latin": "A-Za-z\u00c0-\u02af\u1e00-\u1eff", "cyrillic": "\u0400-\u052f\u1c80-\u1c8f\ua640-\ua69f", "greek": "\u0370-\u03ff\u1f00-\u1fff", "armenian": "\u0530-\u058f", "coptic": "\u2c80-\u2cff"}
+_LETTERS = {s: re.compile(f"[{blocks}]") for s, blocks in _SCRIPTS.items()}
+_OTHER_SCRIPT = re.compile("[" + "".join(b for s, b in _SCRIPTS.items() if s != "latin") + "]")
+
+
+def _back() -> dict[str, dict[int, str]]:
+    """For each script the letters that the map replaced by Latin ones; the first where several have one shape."""
+    out: dict[str, dict[int, str]] = {s: {} for s in _SCRIPTS}
+    for a, b in SAME_SHAPE.items():
+        for s, letters in _LETTERS.items():
+            if s != "latin" and letters.match(a):
+                out[s].setdefault(ord(b), a)
+    return out
+
+
+_BACK = _back()
+#: Letters that do not tell a word's script, as another script has their shape.
+_SHARED = dict.fromkeys(map(ord, {*SAME_SHAPE, *SAME_SHAPE.values()}))
+_WORD = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+")
+#: Roman numerals are Latin in every text; a single C, D, L or M is a word or letter of its script.
+_ROMAN = re.compile(r"[IVX]|[IVXLCDM]{2,}")
+_KATAKANA_HE = re.compile(r"へ(?=[へ\u3099\u309a]*[\u30a1-\u30fa\u30fc-\u30ff])")
 
 
 def _bare() -> dict[int, str | None]:
@@ -96,9 +118,37 @@ def look(text: str) -> str:
     return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_MAP))
 
 
+def _script(word: str) -> str | None:
+    """The script that most letters without a look-alike have, Latin if equally many; None without such a letter."""
+    telling = word.translate(_SHARED)
+    counts = {s: len(letters.findall(telling)) for s, letters in _LETTERS.items()}
+    most = max(counts, key=counts.__getitem__)
+    return most if counts[most] else None
+
+
 def clean(text: str) -> str:
-    """The text composed, without shapeless characters, full-width forms and odd blanks; letters keep their script."""
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_SAFE))
+    """The one stored form of all texts that look like this one: composed, every word in the letters of one script.
+
+    It is made from the look alone, so that texts that look the same come out the same, with or without a partner in
+    the table. A word is written in the script of its letters that have no look-alike; a word without such a letter
+    in that of the word before it that has one, else of the word after it, else in Latin letters.
+    """
+    mapped = look(text)
+    if "へ" in mapped:
+        mapped = _KATAKANA_HE.sub("ヘ", mapped)
+    if _OTHER_SCRIPT.search(mapped):
+        found = [_script(m.group()) for m in _WORD.finditer(mapped)]
+        script = next((s for s in found if s), "latin")
+        told = iter(found)
+
+        def write(m: re.Match) -> str:
+            nonlocal script
+            own = next(told)
+            script = own or script
+            return m.group() if not own and _ROMAN.fullmatch(m.group()) else m.group().translate(_BACK[script])
+
+        mapped = _WORD.sub(write, mapped)
+    return unicodedata.normalize("NFC", mapped)
 
 
 @F.pandas_udf(T.StructType([T.StructField("look", T.StringType()), T.StructField("effort", T.IntegerType())]))
@@ -187,7 +237,8 @@ def look_alike_pairs(records: DataFrame, id_col: str = "record_id", scope: str =
 def canonical_values(records: DataFrame, id_col: str = "record_id", fields: tuple[str, ...] = ("title", "text")) -> DataFrame:
     """Every field of every record with the canonical member of its class, and that member in its clean form.
 
-    A value without a look-alike is its own canonical member.
+    A value without a look-alike is its own canonical member; its clean form is consistent with all others, as every
+    word of it is written in the letters of one script.
     """
     stacked = records.select(F.col(id_col).cast("bigint").alias("k"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields])).alias("e")).select("k", "e.field_name", "e.value")
     rows = _candidates(stacked, [], ["value"])

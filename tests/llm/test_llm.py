@@ -31,6 +31,24 @@ def test_lookalike_pairs(spark):
     assert len(fixed) == 24 and fixed[2, "title"] == fixed[1, "title"] == "Điều 1" and fixed[8, "title"] is None
 
 
+def test_lookalike_letters_without_partner(spark):
+    rows = [(1, "L", "Đіều 7. Thời hạn", "с 1 января ВСЕ и а, Глава II"), (2, "L", "Νội dung", "Меню ヘルプ и へ"), (3, "M", None, "οι νόμοι, a oсо")]
+    df = spark.createDataFrame(rows, "record_id bigint, law_id string, title string, text string")
+    got = {(r["record_id"], r["field_name"]): r["clean"] for r in lookalike.canonical_values(df).collect()}
+    assert got[1, "title"] == "Điều 7. Thời hạn" and got[2, "title"] == "Nội dung" and got[3, "title"] is None
+    assert got[1, "text"] == "с 1 января ВСЕ и а, Глава II" and got[2, "text"] == "Меню ヘルプ и へ"
+    rng = random.Random(4)
+    alike = {}
+    for a, b in lookalike.SAME_SHAPE.items():
+        alike.setdefault(b, []).append(a)
+    plain = ["Điều 7. Thời hạn giải quyết hồ sơ", "Настоящий закон о порядке, а также с 1 января", "The scope of a contract", "οι νόμοι του κράτους"]
+    latin = {a: b for a, b in lookalike.SAME_SHAPE.items()}
+    for text in plain:
+        for _ in range(50):
+            mixed = "".join(rng.choice([c, latin.get(c, c), *alike.get(latin.get(c, c), [])]) for c in text)
+            assert lookalike.clean(mixed) == lookalike.clean(text) == text
+
+
 def test_budget(spark):
     df = frame(spark, EDGES, "chunk_key").withColumn("token_count", F.when(F.col("chunk_key") == 5, 4)).withColumn("source_law_id", F.lit("L/1")).withColumn("document_name", F.lit(None).cast("string"))
     got = [(r["chunk_key"], r["recorded"], r["project_tokens"]) for r in budget.token_estimates(df).orderBy("chunk_key").collect()]
