@@ -1,9 +1,9 @@
 """Evaluation texts leaking into training text (problem 7).
 
-Both sides are cut into windows of an item's size in words, every window gets a 64-bit SimHash of its two-word
-shingles, and fingerprints within a small Hamming radius are found through blocks of the fingerprint: with one
-block more than the radius, two fingerprints within it agree in at least one whole block, so none is missed.
-Every candidate is then verified by the exact weighted similarity of its five-word shingles.
+Both sides are cut into windows of fifteen words. The five-word shingles of the items are indexed by a 64-bit hash,
+and the shingles of a document are looked up there. What two windows share can weigh no more than the shingles of
+either that are found on the other side, so windows for which that is too little are passed over; none that reaches
+the similarity is. Every pair that is left is verified by the exact weighted similarity of its shingles.
 
 The evaluation table goes to the tasks in sets of a fixed number of windows, so what a task holds is bounded
 whatever the table's size; the corpus is only mapped over, never shuffled, and hot sources or groups of copies
@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 
-#: Words of a window; the Hamming radius; the least weighted similarity; words of a shingle that is compared.
-WINDOW, RADIUS, SIMILARITY, SHINGLE = 15, 3, 0.8, 5
+#: Words of a window; the least weighted similarity; words of a shingle that is compared.
+WINDOW, SIMILARITY, SHINGLE = 15, 0.8, 5
 #: Evaluation windows held by a task at once; a larger evaluation table is worked through in several sets.
 SET_WINDOWS = 400_000
-#: Windows of a document that are fingerprinted at once.
-STRIDE = 40_000
+#: Bits of the table that tells most shingles without a match.
+TABLE_BITS = 22
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -58,52 +58,77 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def fingerprints(hashes: np.ndarray, window: int) -> np.ndarray:
-    """SimHash of the two-word shingles of each window of so many words."""
-    n = len(hashes) - window + 1
+def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of so many words."""
+    n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    pairs = _mix(hashes[:-1], hashes[1:])
-    bits = np.unpackbits(pairs.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16)
-    total = np.zeros((len(pairs) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=total[1:])
-    ones = total[window - 1 :] - total[: len(total) - window + 1]
-    return np.packbits(ones * 2 > window - 1, axis=1).view(np.uint64).ravel()
-
-
-class _Blocks:
-    """The windows of a set of items, by each block of their fingerprints."""
-
-    def __init__(self, prints: np.ndarray, radius: int):
-        self.prints, self.radius = prints, radius
-        edges = np.linspace(0, 64, radius + 2).astype(int)
-        self.parts = []
+    out = hashes[:n]
+    for k in range(1, size):
+        out = _mix(out, hashes[k : k + n])
+    return out
+
+
+def _box(values: np.ndarray, span: int) -> np.ndarray:
+    """Sums of each so many successive values."""
+    total = np.concatenate([[0.0], np.cumsum(values)])
+    return total[span:] - total[:-span]
+
+
+class _Index:
+    """The shingles of a set of items, by hash: their weights and their places (item, position)."""
+
+    def __init__(self, shingles: list[np.ndarray], weights: list[np.ndarray], span: int):
+        flat = np.concatenate(shingles) if shingles else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.starts = np.unique(flat[order], return_index=True)
+        self.starts = np.append(self.starts, len(flat))
+        self.item = np.repeat(np.arange(len(shingles)), [len(x) for x in shingles])[order] if shingles else order
+        self.place = np.concatenate([np.arange(len(x)) for x in shingles])[order] if shingles else order
+        self.weight = np.concatenate(weights)[order][self.starts[:-1]] if shingles else np.zeros(0)
+        self.own, self.windows, self.span = weights, [_box(w, span) for w in weights], span
+        self.table = np.zeros(1 << TABLE_BITS, bool)
+        self.table[(self.keys & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
+
+    def pairs(self, hashes: np.ndarray, similarity: float) -> Iterator[tuple[int, int, int]]:
+        """Pairs of windows (place in the document, item, place in it) that may be so similar, each once."""
+        span, least = self.span, similarity - 1e-6
+        at = np.flatnonzero(self.table[(hashes & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)])
+        key = np.searchsorted(self.keys, hashes[at])
+        known = self.keys[np.minimum(key, len(self.keys) - 1)] == hashes[at]
+        at, key = at[known], key[known]
+        if not len(at):
+            return
+        weight, held = np.ones(len(hashes)), np.zeros(len(hashes))
+        weight[at] = held[at] = self.weight[key]
+        total = _box(weight, span)
+        likely = _box(held, span) >= least * total
+        # a shingle counts if it is in a window that is known to the items as a whole
+        used = np.convolve(likely, np.ones(span))[: len(hashes)] > 0.5
+        at, key = at[used[at]], key[used[at]]
+        if not len(at):
+            return
+        count = self.starts[key + 1] - self.starts[key]
+        seeds = np.repeat(at, count)
+        where = np.repeat(self.starts[key], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        item, place = self.item[where], self.place[where]
+        order = np.lexsort((seeds, item))
+        seeds, item, place = seeds[order], item[order], place[order]
+        edges = np.append(np.flatnonzero(np.diff(item, prepend=-1)), len(item))
         for lo, hi in zip(edges[:-1], edges[1:]):
-            key = (prints >> np.uint64(lo)) & np.uint64((1 << int(hi - lo)) - 1)
-            order = np.argsort(key, kind="stable")
-            starts = np.searchsorted(key[order], np.arange((1 << int(hi - lo)) + 1, dtype=np.uint64))
-            self.parts.append((np.uint64(lo), np.uint64((1 << int(hi - lo)) - 1), order, starts))
-
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places (in `prints`, in the set) of all pairs within the radius, each once."""
-        left, right = [], []
-        for lo, mask, order, starts in self.parts:
-            key = ((prints >> lo) & mask).astype(np.int64)
-            first, count = starts[key], starts[key + 1] - starts[key]
-            hit = np.flatnonzero(count)
-            if not len(hit):
+            n, a, b = int(item[lo]), seeds[lo:hi], place[lo:hi]
+            theirs, own = self.windows[n], self.own[n]
+            mine = np.unique(a)
+            if not len(theirs) or (len(mine) < span and weight[mine].sum() < least * theirs.min()):
                 continue
-            count = count[hit]
-            a = np.repeat(hit, count)
-            offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            b = order[np.repeat(first[hit], count) + offset]
-            close = np.bitwise_count(prints[a] ^ self.prints[b]) <= self.radius
-            left.append(a[close])
-            right.append(b[close])
-        if not left:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-        return pairs[0], pairs[1]
+            shared = np.zeros(len(hashes))
+            shared[mine] = weight[mine]
+            for i in np.flatnonzero(_box(shared, span) >= least * total).tolist():
+                near = b[np.searchsorted(a, i) : np.searchsorted(a, i + span)]
+                # no window pair shares more than the places of equal shingles in both
+                most = np.convolve(np.bincount(near, minlength=len(own)) * own, np.ones(span))[span - 1 : len(own)]
+                for j in np.flatnonzero(most >= least * np.maximum(theirs, total[i])).tolist():
+                    yield i, n, j
 
 
 def _shingles(words: list[str], size: int) -> Counter:
@@ -130,7 +155,7 @@ def _run(a: list[str], i: int, b: list[str], j: int) -> int:
     return lo + hi - 1
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", window: int = WINDOW, radius: int = RADIUS, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", window: int = WINDOW, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """One row per document and item with a verified pair of windows.
 
     `windows` is the number of such pairs, `similarity` the best of them and `longest_run` the most successive
@@ -147,7 +172,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     out = None
     for k in range(n_sets):
         part = held.where(F.pmod(F.xxhash64("k"), F.lit(n_sets)) == k)
-        found = _search(keyed, part, weights, window, radius, similarity, shingle)
+        found = _search(keyed, part, weights, window, similarity, shingle)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], LEAK_SCHEMA)
 
@@ -163,42 +188,37 @@ def _item_weights(held: DataFrame, shingle: int) -> DataFrame:
     return held.mapInPandas(cut, "s bigint").groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s", (1.0 / F.col("n")).alias("w"))
 
 
-def _search(docs: DataFrame, part: DataFrame, weights: DataFrame, window: int, radius: int, similarity: float, shingle: int) -> DataFrame:
+def _search(docs: DataFrame, part: DataFrame, weights: DataFrame, window: int, similarity: float, shingle: int) -> DataFrame:
     items = [(int(r["k"]), words_of(r["t"])) for r in part.orderBy("k").collect()]  # one set: bounded by SET_WINDOWS
     items = [(k, w) for k, w in items if len(w) >= window]
     hashed = _Hashes()
-    prints = [fingerprints(np.array([hashed[x] for x in w], np.uint64), window) for _, w in items]
-    owner = np.repeat(np.arange(len(items)), [len(p) for p in prints]) if items else np.zeros(0, int)
-    place = np.concatenate([np.arange(len(p)) for p in prints]) if items else np.zeros(0, int)
+    shingles = [shingle_hashes(np.array([hashed[x] for x in w], np.uint64), shingle) for _, w in items]
     own = {int(xxhash.xxh3_64_intdigest(" ".join(s)) >> 1): s for _, w in items for s in _shingles(w, shingle)}
     weight = {own[r["s"]]: r["w"] for r in weights.collect() if r["s"] in own} if items else {}
-    flat = np.concatenate(prints) if items else np.zeros(0, np.uint64)
-    sent = docs.sparkSession.sparkContext.broadcast((items, flat, owner, place, weight))
+    own_weights = [np.array([weight.get(tuple(w[i : i + shingle]), 1.0) for i in range(len(w) - shingle + 1)]) for _, w in items]
+    sent = docs.sparkSession.sparkContext.broadcast((items, shingles, own_weights, weight))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, flat, owner, place, weight = sent.value
-        index, hashed = _Blocks(flat, radius), _Hashes()
+        items, shingles, own_weights, weight = sent.value
+        index, hashed = _Index(shingles, own_weights, window - shingle + 1), _Hashes()
         for batch in batches:
             rows = []
             for key, text in zip(batch["k"], batch["t"]):
                 words = words_of(text)
-                if len(words) < window or not len(flat):
+                if len(words) < window or not items:
                     continue
                 hashes = np.array([hashed[w] for w in words], np.uint64)
                 best: dict[int, list] = {}
-                for start in range(0, len(words) - window + 1, STRIDE):
-                    a, b = index.near(fingerprints(hashes[start : start + STRIDE + window - 1], window))
-                    for i, j in zip((a + start).tolist(), b.tolist()):
-                        n, at = int(owner[j]), int(place[j])
-                        theirs = items[n][1]
-                        x, y = words[i : i + window], theirs[at : at + window]
-                        s = 1.0 if x == y else weighted_similarity(_shingles(x, shingle), _shingles(y, shingle), weight)
-                        if s >= similarity:
-                            got = best.setdefault(n, [0, 0.0, 0])
-                            got[0] += 1
-                            got[1] = max(got[1], s)
-                            if got[2] < window or not got[0] % window:
-                                got[2] = max(got[2], *(_run(words, i + d, theirs, at + d) for d in (0, window // 2, window - 1)))
+                for i, n, at in index.pairs(shingle_hashes(hashes, shingle), similarity):
+                    theirs = items[n][1]
+                    x, y = words[i : i + window], theirs[at : at + window]
+                    s = 1.0 if x == y else weighted_similarity(_shingles(x, shingle), _shingles(y, shingle), weight)
+                    if s >= similarity:
+                        got = best.setdefault(n, [0, 0.0, 0])
+                        got[0] += 1
+                        got[1] = max(got[1], s)
+                        if got[2] < window or not got[0] % window:
+                            got[2] = max(got[2], *(_run(words, i + d, theirs, at + d) for d in (0, window // 2, window - 1)))
                 rows += [(key, items[n][0], *got) for n, got in best.items()]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "windows", "similarity", "longest_run"])
 

@@ -149,6 +149,36 @@ def test_leaks_match_brute_force(spark):
     assert leakage.find_leaks(df, it.limit(0)).count() == 0
 
 
+def test_similar_windows_match_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = [f"từ{i}" for i in range(400)]
+    common = rng.choices(vocabulary, k=9)
+    items = [(i, rng.choices(vocabulary, k=rng.randint(15, 30)) + common * (i % 3 == 0) + rng.choices(vocabulary, k=12)) for i in range(10)] + [(10, ["lặp"] * 20)]
+    docs = [(200, ["lặp"] * 30)]
+    for d in range(60):
+        own, start = items[d % 10][1], rng.randint(0, 12)
+        passage = own[start : start + rng.randint(13, 22)]
+        if d % 4 == 1:
+            passage[rng.choice((0, -1))] = "khác"
+        docs.append((d, rng.choices(vocabulary, k=rng.randint(0, 20)) + passage + rng.choices(vocabulary, k=5)))
+    bag = lambda w: leakage._shingles(w, 5)
+    counts = {}
+    for _, w in items:
+        for s in bag(w):
+            counts[s] = counts.get(s, 0) + 1
+    weight = {s: 1.0 / n for s, n in counts.items() if n > 1}
+    expected = {}
+    for d, w in docs:
+        for i, u in items:
+            found = [s for x in range(len(w) - 14) for y in range(len(u) - 14) if (s := leakage.weighted_similarity(bag(w[x : x + 15]), bag(u[y : y + 15]), weight)) >= 0.8]
+            if found:
+                expected[d, i] = (len(found), round(max(found), 9))
+    df, it = (spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{c} bigint, text string") for rows, c in ((docs, "doc_id"), (items, "item_id")))
+    rows = leakage.find_leaks(df, it).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["windows"], round(r["similarity"], 9)) for r in rows} == expected
+    assert any(r["longest_run"] < 15 for r in rows)
+
+
 @pytest.mark.parametrize(
     "text, case",
     [
