@@ -94,7 +94,7 @@ _KATAKANA_HE = re.compile(r"へ(?=[へ\u3099\u309a]*[\u30a1-\u30fa\u30fc-\u30ff]
 def _bare() -> dict[int, str | None]:
     """The map to bare lower-case letters and digits: what any two look-alikes have in common."""
     out: dict[int, str | None] = {}
-    for c in range(0x10000):
+    for c in (*range(0x10000), *(c for c in _MAP if c >= 0x10000)):
         to = _MAP.get(c, chr(c))
         low = to.lower() if to else to
         kept = bool(low) and unicodedata.category(low[0])[0] in "LN"

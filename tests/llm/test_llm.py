@@ -49,6 +49,12 @@ def test_lookalike_letters_without_partner(spark):
             assert lookalike.clean(mixed) == lookalike.clean(text) == text
 
 
+def test_equal_looks_share_a_signature():
+    for c in lookalike._MAP:
+        if not 0xD800 <= c < 0xE000:
+            assert lookalike.signature((f"a{chr(c)}b",)) == lookalike.signature((lookalike.look(f"a{chr(c)}b"),)), hex(c)
+
+
 def test_budget(spark):
     df = frame(spark, EDGES, "chunk_key").withColumn("token_count", F.when(F.col("chunk_key") == 5, 4)).withColumn("source_law_id", F.lit("L/1")).withColumn("document_name", F.lit(None).cast("string"))
     got = [(r["chunk_key"], r["recorded"], r["project_tokens"]) for r in budget.token_estimates(df).orderBy("chunk_key").collect()]
