@@ -142,17 +142,20 @@ def weighted_similarity(a: Counter, b: Counter, weight: dict) -> float:
     return both / every if every else 0.0
 
 
-def _run(a: list[str], i: int, b: list[str], j: int) -> int:
-    """Length of the run of equal words through these two places, 0 if the words there differ."""
-    if a[i] != b[j]:
-        return 0
-    lo = 1
-    while i - lo >= 0 and j - lo >= 0 and a[i - lo] == b[j - lo]:
-        lo += 1
-    hi = 1
-    while i + hi < len(a) and j + hi < len(b) and a[i + hi] == b[j + hi]:
-        hi += 1
-    return lo + hi - 1
+def _run(a: list[str], i: int, b: list[str], j: int, window: int) -> tuple[int, int]:
+    """Length of the longest run of equal words through two windows at the same offset, and the end in `a` of the last."""
+    longest, end, d = 0, i, 0
+    while d < window:
+        if a[i + d] != b[j + d]:
+            d += 1
+            continue
+        lo = hi = d
+        while i + lo > 0 and j + lo > 0 and a[i + lo - 1] == b[j + lo - 1]:
+            lo -= 1
+        while i + hi < len(a) and j + hi < len(b) and a[i + hi] == b[j + hi]:
+            hi += 1
+        longest, end, d = max(longest, hi - lo), i + hi, hi
+    return longest, end
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", window: int = WINDOW, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -209,6 +212,7 @@ def _search(docs: DataFrame, part: DataFrame, weights: DataFrame, window: int, s
                     continue
                 hashes = np.array([hashed[w] for w in words], np.uint64)
                 best: dict[int, list] = {}
+                ends: dict[tuple[int, int], int] = {}
                 for i, n, at in index.pairs(shingle_hashes(hashes, shingle), similarity):
                     theirs = items[n][1]
                     x, y = words[i : i + window], theirs[at : at + window]
@@ -217,8 +221,10 @@ def _search(docs: DataFrame, part: DataFrame, weights: DataFrame, window: int, s
                         got = best.setdefault(n, [0, 0.0, 0])
                         got[0] += 1
                         got[1] = max(got[1], s)
-                        if got[2] < window or not got[0] % window:
-                            got[2] = max(got[2], *(_run(words, i + d, theirs, at + d) for d in (0, window // 2, window - 1)))
+                        # a pair inside the run last measured at this offset has no other
+                        if i + window > ends.get((n, at - i), 0):
+                            longest, ends[n, at - i] = _run(words, i, theirs, at, window)
+                            got[2] = max(got[2], longest)
                 rows += [(key, items[n][0], *got) for n, got in best.items()]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "windows", "similarity", "longest_run"])
 

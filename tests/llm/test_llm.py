@@ -155,6 +155,13 @@ def test_leaks_match_brute_force(spark):
     assert leakage.find_leaks(df, it.limit(0)).count() == 0
 
 
+def test_longest_run_of_several(spark):
+    item = [f"từ{i}" for i in range(60)]
+    doc = [*item[:15], *(f"x{i}" for i in range(9)), *item[30:46], "y"]
+    df, it = (spark.createDataFrame([(1, " ".join(w))], f"{c} bigint, text string") for w, c in ((doc, "doc_id"), (item, "item_id")))
+    assert [r["longest_run"] for r in leakage.find_leaks(df, it).collect()] == [16]
+
+
 def test_similar_windows_match_brute_force(spark):
     rng = random.Random(8)
     vocabulary = [f"từ{i}" for i in range(400)]
