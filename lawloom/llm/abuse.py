@@ -159,7 +159,7 @@ CLASSES: dict[str, dict[str, str]] = {
 PHRASES: tuple[tuple[str, tuple[str, ...], tuple[int, ...]], ...] = (
     ("INSULT2", ("VOC", "PEJ|INS|BEAST"), (0,)),
     ("INSULT2", ("CON", "PEJ|INS"), (0,)),
-    ("INSULT2", ("PEJ", "BEAST|INS"), (0,)),
+    ("INSULT2", ("PEJ", "BEAST|INS|MASKED"), (0,)),
     ("INSULT2", ("PEJ", "PEJ", "BEAST|INS"), (0, 0)),
     ("INSULT", ("INSULT2",), ()),
     ("INSULT", ("INS",), ()),
@@ -232,7 +232,7 @@ RULES: tuple[tuple[str, float, tuple[str, ...], tuple[int, ...]], ...] = (
 #: Every rule holds one of these; clauses are parsed only around their words.
 CORE = frozenset("DEHUM2 INS PEJ BEAST MASKED SHUT DISMISS WASTE ONLYFIT DISGUST VIOL STALK DEHUM DESERVE HUMANITY ERAD WISH HARASS BLOOD BORN PORN NUDE SEXACT UNDRESS HORNY BODYS".split())
 #: Symbols that take weight away; their Vietnamese words of one syllable count with accents only.
-CONTEXT = frozenset("FORBID PENALTY ANIMAL NEG".split())
+CONTEXT = frozenset("FORBID PENALTY ANIMAL".split())
 #: Words on each side of a core word within which every rule and its context fit.
 REACH = 30
 
