@@ -81,20 +81,6 @@ def test_splitting_edges(spark):
     assert max(len(r["piece"]) for r in rows) <= 4203
 
 
-def test_sentences_by_structure(spark):
-    text = "[...overlap...]\n1. Nộp v.v. cho P. 81. 2. Ai giữ?\n[...end overlap...]\n\nĐiều 3. Tên\n1. Người nói: “Tôi nộp.” Diện tích là 1,5 ha theo khoản 6\nĐiều 44. Biển “Dừng! Chờ.” được đặt.\na) giấy;\nb) sổ."
-    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "甲。乙！")], "chunk_key bigint, text string")
-    got = {(r["chunk_key"], r["sentence"].split("\n")[0]) for r in sentences.sentences(df).collect()}
-    assert {(1, "2. Ai giữ?"), (1, "Điều 3. Tên"), (1, "1. Người nói: “Tôi nộp.”"), (1, "a) giấy;"), (1, "b) sổ."), (4, "甲。"), (4, "乙！")} <= got
-    assert not any(s.startswith(("Chờ", "Điều 44", "[...")) for _, s in got)
-
-
-def test_maximum_entropy_learns():
-    rows = [(1, [1, 2]), (0, [1, 3])] * 200
-    w = sentences.fit(rows)
-    assert w[[1, 2]].sum() > 1 and w[[1, 3]].sum() < -1
-
-
 def test_encoding_round_trip(spark):
     clean = ["Quyền của người giữ sổ kho", "Thời hạn giao tài liệu kỹ thuật", "Trách nhiệm của bên bảo lãnh", "Xử lý vi phạm về phiếu cân", "Bảo quản hợp đồng thuê bến"]
     rows = [(i, "l", clean[i % 5], clean[(i + 1) % 5]) for i in range(200)]
