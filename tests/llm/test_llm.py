@@ -81,18 +81,6 @@ def test_splitting_edges(spark):
     assert max(len(r["piece"]) for r in rows) <= 4203
 
 
-def test_encoding_round_trip(spark):
-    clean = ["Quyền của người giữ sổ kho", "Thời hạn giao tài liệu kỹ thuật", "Trách nhiệm của bên bảo lãnh", "Xử lý vi phạm về phiếu cân", "Bảo quản hợp đồng thuê bến"]
-    rows = [(i, "l", clean[i % 5], clean[(i + 1) % 5]) for i in range(200)]
-    bad = clean[0].encode().decode("cp1252", "replace")
-    rows += [(900, "l", clean[1].encode().decode("latin-1"), None), (901, "l", "", "MÃ SỐ ÂM, BÃO LŨ"), (902, "l", clean[2], "Tr�ch nhi�m"), (903, "l", bad, "x")]
-    df = spark.createDataFrame(rows, "record_id bigint, law_id string, title string, text string")
-    got = {(r["record_id"], r["field_name"]): r["restored"] for r in encoding.find_garbled(df).collect()}
-    assert got[900, "title"] == clean[1] and (902, "text") in got and got[902, "text"] is None
-    assert not any(k < 900 or k == 901 for k, _ in got)
-    assert encoding.find_garbled(df.limit(0)).count() == 0
-
-
 def test_packing(spark):
     rng = random.Random(1)
     sizes = [(i, rng.choice([0, 7, 7, rng.randint(1, 100), 250])) for i in range(600)] + [(3, 50)]
