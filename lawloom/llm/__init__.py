@@ -1,17 +1,21 @@
-"""Operators for training data. Nothing outside this subpackage imports it."""
+"""Operators for training data. Nothing outside this subpackage imports it.
+
+The modules are imported at once, so that a missing dependency shows where the subpackage is imported.
+"""
 
 from __future__ import annotations
 
+import tiktoken  # noqa: F401  needed in tasks
+import xxhash  # noqa: F401
 
-def _modules():
-    from . import abuse, budget, encoding, leakage, lookalike, packing, sentences, splitting
+from . import abuse, budget, encoding, leakage, lookalike, packing, sentences, splitting
 
-    return (lookalike, budget, splitting, sentences, encoding, packing, leakage, abuse)
+_MODULES = (lookalike, budget, splitting, sentences, encoding, packing, leakage, abuse)
 
 
 def queries() -> dict:
-    return {name: fn for m in _modules() for name, fn in m.QUERIES.items()}
+    return {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _modules() for name, sql in m.ORACLE_SQL.items()}
+    return {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

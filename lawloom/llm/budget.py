@@ -130,8 +130,14 @@ def fit_models(featured: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS) -
         yield pd.DataFrame(rows, columns=["lang", "part", "xx", "xy", "sx", "sy", "n"])
 
     pieces = sampled.mapInPandas(gather, "lang string, part int, xx array<double>, xy array<double>, sx array<double>, sy array<double>, n bigint")
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sums = {c: np.sum(np.stack(rows[c].tolist()), axis=0).tolist() for c in ("xx", "xy", "sx", "sy")}
+        return pd.DataFrame([{"lang": key[0], "part": key[1], **sums, "n": int(rows["n"].sum())}])
+
     groups: dict[tuple[str, int], list] = {}
-    for r in pieces.toLocalIterator():  # a few hundred numbers per language and task of a bounded sample
+    # one row of a few hundred numbers per language and part, added up in tasks
+    for r in pieces.groupBy("lang", "part").applyInPandas(add, pieces.schema).collect():
         new = [np.array(r["xx"]).reshape(width, width), np.array(r["xy"]).reshape(width, 2), np.array(r["sx"]), np.array(r["sy"]), r["n"]]
         for key in ((r["lang"], r["part"]), ("*", r["part"])):
             groups[key] = [a + b for a, b in zip(groups[key], new)] if key in groups else new

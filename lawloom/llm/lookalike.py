@@ -226,11 +226,13 @@ def look_alike_pairs(records: DataFrame, id_col: str = "record_id", scope: str =
     """
     rows = _candidates(records.select(F.col(id_col).cast("bigint").alias("k"), scope, *fields), [scope], list(fields))
     classes = look_classes(_variants(rows, [scope], list(fields)), [scope], list(fields)).select("v", "class")
-    members = cut(rows.select("k", "v").join(classes, "v").select("k", "v", "class"))
-    a, b = members.alias("a"), members.alias("b")
+    classes = cut(classes)
+    members = cut(rows.select("k", "v").join(classes.select("v"), "v", "left_semi"))
+    # variants are paired first, so that copies of one variant never meet each other
+    pairs = classes.alias("x").join(classes.alias("y"), (F.col("x.class") == F.col("y.class")) & (F.col("x.v") < F.col("y.v"))).select(F.col("x.v").alias("va"), F.col("y.v").alias("vb"))
     return (
-        a.join(b, (F.col("a.class") == F.col("b.class")) & (F.col("a.k") < F.col("b.k")) & (F.col("a.v") != F.col("b.v")))
-        .select(F.col("a.k").alias("record_id_a"), F.col("b.k").alias("record_id_b"))
+        pairs.join(members.select(F.col("v").alias("va"), F.col("k").alias("ka")), "va").join(members.select(F.col("v").alias("vb"), F.col("k").alias("kb")), "vb")
+        .select(F.least("ka", "kb").alias("record_id_a"), F.greatest("ka", "kb").alias("record_id_b"))
     )
 
 

@@ -220,7 +220,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOC
     before = counts.withColumn("offset", F.sum("count").over(Window.partitionBy("shard", "size").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "size", "grp", F.coalesce("offset", F.lit(0)).alias("offset"))
     ranked = (
         rest.withColumn("within", F.row_number().over(Window.partitionBy("shard", "size", "grp").orderBy("doc_id", "part_no")) - 1)
-        .join(before, ["shard", "size", "grp"])
+        .join(before.hint("merge"), ["shard", "size", "grp"])
         .withColumn("rank", F.col("within") + F.col("offset"))
     )
     span = plan.withColumnRenamed("container", "first_container")
@@ -228,7 +228,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DOC
     starts = span.groupBy("shard", "size").agg(F.sort_array(F.collect_list(F.struct("first_rank", "first_container", "per_container"))).alias("steps"))
     placed = (
         ranked.where("size > 0")
-        .join(starts, ["shard", "size"])
+        .join(starts.hint("merge"), ["shard", "size"])
         .withColumn("step", F.element_at(F.filter("steps", lambda s: s["first_rank"] <= F.col("rank")), -1))
         .select("doc_id", "tokens", "part_no", F.col("size").cast("bigint").alias("part_tokens"), "shard", F.concat_ws("-", F.col("shard").cast("string"), F.expr("cast(step.first_container + (rank - step.first_rank) div step.per_container as string)")).alias("container"))
     )
