@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -38,26 +39,35 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf(T.StringType())
-def _unescape_twice(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: "" if t is None else html.unescape(html.unescape(t)))
+_TAG, _CONTROL, _BLANKS, _GAPS = re.compile(r"<[^>]+>"), re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"), re.compile(r"[ \t]+"), re.compile(r"\n{3,}")
+
+
+def plain_text(t: str | None) -> str:
+    """One raw text made plain, as `clean_text` states."""
+    if not t:
+        return ""
+    if "&" in t:
+        t = html.unescape(html.unescape(t))
+    if "<" in t:
+        t = _TAG.sub(" ", t)
+    t = _CONTROL.sub("", unicodedata.normalize("NFC", t)).replace("\r\n", "\n").replace("\r", "\n")
+    t = "\n".join(_BLANKS.sub(" ", line).strip() for line in _GAPS.sub("\n\n", t).split("\n"))
+    return _GAPS.sub("\n\n", t).strip()
 
 
 @F.pandas_udf(T.StringType())
-def _compose(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFC", t))
+def _plain(texts: pd.Series) -> pd.Series:
+    return texts.map(plain_text)
 
 
 def clean_text(c: Column | str) -> Column:
     """Raw legal text made plain; null becomes the empty text.
 
     Entities are decoded twice, tags become a blank, letters are composed, control characters are dropped, line
-    ends are unified, blanks within a line are single and at its ends none, and at most one line is empty.
-    Only decoding and composing need Python; both run on Arrow batches.
+    ends are unified, blanks within a line are single and at its ends none, and at most one line is empty. One
+    function on Arrow batches: decoding and composing need Python, and what stands around them is evaluated once so.
     """
-    t = F.regexp_replace(_unescape_twice(col(c)), r"<[^>]+>", " ")
-    t = F.regexp_replace(_compose(t), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
-    return tidy_lines(F.regexp_replace(t, r"\r\n?", "\n"))
+    return _plain(col(c))
 
 
 def tidy_lines(c: Column | str) -> Column:
@@ -146,25 +156,24 @@ def page_estimate(c: Column | str) -> Column:
     return F.floor(F.length(col(c)) / F.lit(3500)).cast("bigint")
 
 
+@functools.lru_cache(maxsize=None)
+def _finder(pattern: str):
+    compiled = re.compile(pattern, re.M)
+
+    @F.pandas_udf("array<struct<pos:int,match:string>>")
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [(m.start(), m.group()) for m in compiled.finditer(t)])
+
+    return find
+
+
 def matches(c: Column | str, pattern: str) -> Column:
-    """All matches of a pattern (without groups of its own) as structs of position from 0 and matched text.
+    """All matches of a pattern as structs of position from 0 and matched text; null for null.
 
-    The anchored pattern takes gap and match in turns, so a text is read once; gaps and matches give the positions.
-    Lines end at line feeds only, classes are Unicode's.
+    Spark has no function that tells where a pattern matches. Each text is read once, on Arrow batches, and what
+    uses the result does not search again. Lines end at line feeds only, classes are Unicode's.
     """
-    step = F.lit(rf"(?dmU)\G([\s\S]*?)({pattern})")
-    gaps, found = F.regexp_extract_all(col(c), step, F.lit(1)), F.regexp_extract_all(col(c), step, F.lit(2))
-    sizes = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,match:string>>").alias("out"))
-    return F.aggregate(
-        sizes,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["size"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("pos"), x["match"].alias("match")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    return _finder(pattern)(col(c))
 
 
 _END = re.compile(r"(?<=[.!?…。！？।])[”\"’»)\]]*(?=\s|$)")

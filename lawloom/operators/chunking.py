@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +37,7 @@ class ChunkConfig:
         return int(self.overlap_tokens * self.ratio)
 
 
-#: Headings, and the end of a block that a heading may still run on from (the pattern's blanks cross line ends).
-_ARTICLE, _CHAPTER, _SECTION = (re.compile(p, re.M) for p in (tx.ARTICLE, tx.CHAPTER, tx.SECTION))
+#: The end of a block that a heading may still run on from (the pattern's blanks cross line ends).
 OPEN_END = r"(?mdU)^(?:(?:Điều(?:\s+\d+[.:])?|Chương(?:\s+[IVXLCDM\d]+[.:]*)?|Mục(?:\s+\d+[.:]*)?)\s*)+\z"
 #: Groups of chunks that are numbered together.
 RANGE = 200
@@ -67,18 +65,9 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for law, block, name, text in zip(batch["law_id"], batch["block"], batch["document_name"], batch["full_text"]):
-            arts, ups = list(_ARTICLE.finditer(text)), [[(m.start(), m.group().strip()) for m in p.finditer(text)] for p in (_CHAPTER, _SECTION)]
-            before = text[: arts[0].start()].rstrip() if arts else text
-            rows.append((law, block, 0, name, None, None, *(u[-1][1] if u else None for u in ups), before, len(before)))
-            at = [0, 0]
-            for i, m in enumerate(arts):
-                for k, u in enumerate(ups):
-                    while at[k] < len(u) and u[at[k]][0] <= m.start():
-                        at[k] += 1
-                body = text[m.start() : arts[i + 1].start() if i + 1 < len(arts) else len(text)].strip()
-                number, title = re.match(r"Điều\s+(\d+)[\.:]\s*(.*)", m.group()).groups()
-                number = int(number) if int(number) < 1 << 31 else None
-                rows.append((law, block, i + 1, None, number, title.strip(), *(u[j - 1][1] if j else None for u, j in zip(ups, at)), body, len(body)))
+            before, ends, arts = structure.article_pieces(text)
+            rows.append((law, block, 0, name, None, None, *ends, before, len(before)))
+            rows += [(law, block, i, None, number, title, chapter, section, body, len(body)) for i, (number, title, body, chapter, section) in enumerate(arts, 1)]
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PIECES.split(", ")]).astype({"number": "Int32"})
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import relation_id, split_sep, strip
+from ..functions.text import SEP, relation_id, split_sep, strip
 
 #: Defaults of missing attributes.
 NODE_DEFAULTS = {"entity_type": "UNKNOWN", "description": "", "source_id": "", "file_path": "unknown_source", "created_at": 0, "truncate": ""}
@@ -61,3 +61,49 @@ def parse_extractions(df: DataFrame, key: str, output: str, field: str = "<|>",
 def parse_keywords(c: Column) -> Column:
     """Keywords of both levels from a model's JSON; null where it is none."""
     return F.from_json(c, "high_level_keywords array<string>, low_level_keywords array<string>")
+
+
+#: Most chunk ids in one row of a key's list.
+LIST_PART = 1000
+
+
+def id_lists(rows: DataFrame, keys: list[str], chunk: str = "chunk") -> DataFrame:
+    """The chunks of each key as joined lists of at most LIST_PART ids: the tables of chunks per entity and per relation.
+
+    Ids are dealt to parts by a hash, sized by the key's count, so that a key in a third of all chunks is many small groups.
+    """
+    distinct = rows.select(*keys, F.col(chunk).alias("_c")).where("_c is not null").distinct()
+    sizes = distinct.groupBy(*keys).agg(F.count("*").alias("chunks"))
+    parted = distinct.join(sizes, keys).withColumn("part_no", F.expr(f"cast(pmod(xxhash64(_c), (chunks - 1) div {LIST_PART} + 1) as int)"))
+    return parted.groupBy(*keys, "part_no").agg(F.max("chunks").alias("chunks"), F.array_join(F.sort_array(F.collect_list("_c")), SEP).alias("chunk_ids"))
+
+
+def _described(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct descriptions of each key as one text; of a key with more than LIST_PART of them their first part (the
+    others are to be had from `id_lists`)."""
+    held = id_lists(rows.where("description <> ''"), keys, "description")
+    return held.where("part_no = 0").select(*keys, F.col("chunk_ids").alias("description"))
+
+
+def merge_entities(mentions: DataFrame) -> DataFrame:
+    """Mentions (entity, entity_type, description, chunk) as entities: the most frequent type, the first part of the distinct
+    descriptions joined, mentions and chunks."""
+    return merge_mentions(mentions).join(_described(mentions, ["entity"]), "entity", "left").withColumn("description", F.coalesce("description", F.lit("")))
+
+
+def merge_relations(mentions: DataFrame) -> DataFrame:
+    """Mentions (src_id, tgt_id, description, strength, chunk) as relations with their id: summed strength, the distinct
+    descriptions joined, mentions and chunks."""
+    keys = ["src_id", "tgt_id"]
+    sums = mentions.groupBy(*keys).agg(F.sum(F.coalesce("strength", F.lit(1.0))).alias("weight"), F.count("*").alias("mentions"))
+    held = mentions.select(*keys, "chunk").distinct().groupBy(*keys).agg(F.count("*").alias("chunks"))
+    joined = sums.join(held, keys).join(_described(mentions, keys), keys, "left")
+    return joined.select(relation_id("src_id", "tgt_id").alias("rel_id"), *keys, "weight", F.coalesce("description", F.lit("")).alias("description"), "mentions", "chunks")
+
+
+def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes, edges, and edges between nodes that are there."""
+    n, e = nodes.agg(F.count("*").alias("nodes")), edges.agg(F.count("*").alias("edges"))
+    known = nodes.select("entity_id").distinct()
+    whole = edges.join(known.withColumnRenamed("entity_id", "src_id"), "src_id", "left_semi").join(known.withColumnRenamed("entity_id", "tgt_id"), "tgt_id", "left_semi").agg(F.count("*").alias("complete_edges"))
+    return n.crossJoin(e).crossJoin(whole)  # one row each

@@ -48,3 +48,27 @@ def retry_outcome(log: DataFrame) -> DataFrame:
     """Chunks that failed at least once: how many recovered later and how many are still failed."""
     per = log.where("chunk_key is not null").groupBy("chunk_key").agg(F.count_if(F.col("status") == "failed").alias("failures"), F.count_if(F.col("status") == "completed").alias("successes")).where("failures > 0")
     return per.agg(F.count("*").alias("failed_once"), F.count_if(F.col("successes") > 0).alias("recovered"), F.count_if(F.col("successes") == 0).alias("still_failed"))
+
+
+def retry_queue(log: DataFrame) -> DataFrame:
+    """Chunks whose last attempt failed, with the number of the next one."""
+    return latest_status(log).where("status = 'failed'").select("chunk_key", "doc_hash", (F.col("attempt") + 1).alias("next_attempt"))
+
+
+def upsert_last(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row per key: the last in the order wins. Rows are reduced before they are shuffled."""
+    others = [c for c in rows.columns if c != key]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_last"))
+    return last.select(key, "_last.*")
+
+
+def status_shares(log: DataFrame) -> DataFrame:
+    """Attempts by status with their share of all in whole per cent."""
+    counted = log.groupBy("status").agg(F.count("*").alias("n"))
+    total = counted.agg(F.sum("n").alias("total"))
+    return counted.crossJoin(total).select("status", "n", F.expr("cast(n * 100 div total as int)").alias("pct"))  # one row of totals
+
+
+def in_law_order(chunks: DataFrame, laws: DataFrame, law: str = "source_law_id") -> DataFrame:
+    """The chunks of registered laws with the rank of their law: the order of output, law by law."""
+    return chunks.join(laws.select(F.col("law_id").alias(law), "law_rank"), law)

@@ -18,7 +18,7 @@ def token_aggregates(tokens: str = "token_count", low: int = TARGET_MIN_TOKENS,
         F.sum(t.cast("bigint")).alias("total_tokens"),
         F.min(t).alias("min_tokens"),
         F.max(t).alias("max_tokens"),
-        F.expr(f"sum(cast({tokens} as bigint)) div nullif(count(*), 0)").alias("avg_tokens"),
+        F.expr(f"sum(cast({tokens} as bigint)) div nullif(count({tokens}), 0)").alias("avg_tokens"),
         in_range.alias("in_range"),
         F.bround(F.lit(100.0) * in_range / F.nullif(F.count("*"), F.lit(0)), 1).alias("pct_in_range"),
     ]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,59 +16,77 @@ from ..functions.text import matches, strip
 MIN_CHARS, MAX_CHARS, OVERLAP_CHARS = 2800, 4200, 350
 
 
-def _tagged(text: str, kind: str, pattern: str) -> Column:
-    """Matches of a pattern as structs of kind, position, size and heading."""
-    return F.transform(matches(text, pattern), lambda m: F.struct(F.lit(kind).alias("kind"), m["pos"].alias("pos"), F.length(m["match"]).alias("size"), m["match"].alias("heading")))
-
-
 def headings(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Every article, chapter and section heading of every text: (key, kind, pos, heading), one row each."""
-    found = F.concat(*[_tagged(text, k, p) for k, p in (("article", tx.ARTICLE), ("chapter", tx.CHAPTER), ("section", tx.SECTION))])
-    return texts.select(F.col(key), F.explode(found).alias("h")).select(key, "h.kind", "h.pos", "h.heading")
+    kinds = {"article": tx.ARTICLE, "chapter": tx.CHAPTER, "section": tx.SECTION}
+    held = texts.select(key, *(F.coalesce(matches(text, p), F.array().cast("array<struct<pos:int,match:string>>")).alias(k) for k, p in kinds.items()))
+    tagged = lambda k: F.transform(k, lambda m: F.struct(F.lit(k).alias("kind"), m["pos"].alias("pos"), m["match"].alias("heading")))
+    return held.select(key, F.explode(F.concat(*map(tagged, kinds))).alias("h")).select(key, "h.*")
 
 
 def markers(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Positions of all five kinds of structural markers, with the characters around each."""
+    """Positions of all five kinds of structural markers, with the characters around each; texts are left behind."""
     kinds = {"article": tx.ARTICLE, "chapter": tx.CHAPTER, "section": tx.SECTION, "clause": tx.CLAUSE, "point": tx.POINT}
-    found = F.concat(*[_tagged(text, k, p) for k, p in kinds.items()])
-    rows = texts.select(key, F.col(text).alias("_t"), F.explode(found).alias("h"))
-    return rows.select(key, "h.kind", "h.pos", F.substring(F.col("_t"), F.col("h.pos") + 1, F.col("h.size") + 20).alias("context"))
+    held = texts.select(key, F.col(text).alias("_t"), *(matches(text, p).alias(k) for k, p in kinds.items()))
+    # the context is cut before the rows are multiplied
+    around = lambda k: F.transform(k, lambda m: F.struct(F.lit(k).alias("kind"), m["pos"].alias("pos"), F.substring(F.col("_t"), m["pos"] + 1, F.length(m["match"]) + 20).alias("context")))
+    return held.select(key, F.explode(F.concat(*[F.coalesce(around(k), F.array().cast("array<struct<kind:string,pos:int,context:string>>")) for k in kinds])).alias("h")).select(key, "h.*")
 
 
-def carry_forward(rows: DataFrame, key: str, order: str, kind: str, value: str, kinds: tuple[str, ...]) -> DataFrame:
-    """For each row the last value of each other kind at or before it: an as-of join in one window pass."""
-    w = Window.partitionBy(key).orderBy(order, F.when(F.col(kind).isin(*kinds), 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
-    for k in kinds:
-        rows = rows.withColumn(k, F.coalesce(F.last(F.when(F.col(kind) == k, F.col(value)), ignorenulls=True).over(w), F.lit("")))
-    return rows
+def carry_forward(rows: DataFrame, key: str, order: str, kind: str, value: str, kinds: tuple[str, ...], part: Column | None = None) -> DataFrame:
+    """For each row the last value of each of these kinds at or before it (null if there is none): an as-of join.
+
+    Rows of a key are worked through in parts (`part` must not decrease with the order), so that a hot key is no single
+    task; a part passes on its last values only. Rows without a key have no predecessor.
+    """
+    part = F.lit(0) if part is None else part
+    held = rows.withColumn("_part", part)
+    w = Window.partitionBy(key, "_part").orderBy(order, F.when(F.col(kind).isin(*kinds), 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
+    named = lambda k: F.when(F.col(kind) == k, F.col(value))
+    within = held.where(F.col(key).isNotNull()).withColumns({f"_{k}": F.last(named(k), ignorenulls=True).over(w) for k in kinds})
+    ends = held.where(F.col(key).isNotNull()).groupBy(key, "_part").agg(*[F.max_by(named(k), F.when(F.col(kind) == k, F.col(order))).alias(f"_end_{k}") for k in kinds])
+    parts = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(key, "_part", *[F.last(f"_end_{k}", ignorenulls=True).over(parts).alias(f"_before_{k}") for k in kinds])
+    found = within.join(before, [key, "_part"]).select(*rows.columns, *[F.coalesce(f"_{k}", f"_before_{k}").alias(k) for k in kinds])
+    return found.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
+_ARTICLE, _CHAPTER, _SECTION = (re.compile(p, re.M) for p in (tx.ARTICLE, tx.CHAPTER, tx.SECTION))
+_NUMBERED = re.compile(r"Điều\s+(\d+)[\.:]\s*(.*)")
+
+
+def article_pieces(text: str) -> tuple[str, tuple[str | None, str | None], list[tuple]]:
+    """The text before the first article, the last chapter and section, and the articles (number, title, body, chapter,
+    section) in order; headings are merged with the articles in one pass."""
+    arts, ups = list(_ARTICLE.finditer(text)), [[(m.start(), m.group().strip()) for m in p.finditer(text)] for p in (_CHAPTER, _SECTION)]
+    out, at = [], [0, 0]
+    for i, m in enumerate(arts):
+        for k, u in enumerate(ups):
+            while at[k] < len(u) and u[at[k]][0] <= m.start():
+                at[k] += 1
+        number, title = _NUMBERED.match(m.group()).groups()
+        body = text[m.start() : arts[i + 1].start() if i + 1 < len(arts) else len(text)].strip()
+        out.append((int(number) if int(number) < 1 << 31 else None, title.strip(), body, *(u[j - 1][1] if j else None for u, j in zip(ups, at))))
+    return text[: arts[0].start()].rstrip() if arts else text, tuple(u[-1][1] if u else None for u in ups), out
 
 
 def extract_articles(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Articles of each text with number, title, body, chapter and section; a text without any is one block 0.
 
-    Text before the first article is left out; a block runs to the next article. Only positions and headings pass
-    the window, the text itself is cut in the row it stands in.
+    Text before the first article is left out; a block runs to the next article. A map over the texts.
     """
-    base = texts.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    arts = matches("_t", tx.ARTICLE)
-    ups = {k: matches("_t", p) for k, p in (("chapter", tx.CHAPTER), ("section", tx.SECTION))}
-    held = base.withColumn("_a", arts).withColumn("_c", ups["chapter"]).withColumn("_s", ups["section"])
-    n = F.size("_a")
-    last_before = lambda found, pos: F.coalesce(strip(F.try_element_at(F.filter(found, lambda h: h["pos"] <= pos), F.lit(-1))["match"]), F.lit(""))
-    blocks = F.when(
-        n > 0,
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-            lambda i: F.struct(
-                F.coalesce(tx.whole_number(F.regexp_extract(F.try_element_at(F.col("_a"), i)["match"], r"(?U)Điều\s+(\d+)", 1)), i).alias("number"),
-                strip(F.regexp_extract(F.try_element_at(F.col("_a"), i)["match"], r"(?U)Điều\s+\d+[\.:]\s*(.*)", 1)).alias("title"),
-                strip(F.substring(F.col("_t"), F.try_element_at(F.col("_a"), i)["pos"] + 1, F.coalesce(F.try_element_at(F.col("_a"), i + 1)["pos"], F.length("_t")) - F.try_element_at(F.col("_a"), i)["pos"])).alias("full_text"),
-                last_before(F.col("_c"), F.try_element_at(F.col("_a"), i)["pos"]).alias("chapter"),
-                last_before(F.col("_s"), F.try_element_at(F.col("_a"), i)["pos"]).alias("section"),
-            ),
-        ),
-    ).otherwise(F.array(F.struct(F.lit(0).alias("number"), F.lit("(Toàn văn)").alias("title"), F.col("_t").alias("full_text"), F.lit("").alias("chapter"), F.lit("").alias("section"))))
-    return held.select(key, F.posexplode(blocks).alias("art_ord", "b")).select(key, "art_ord", "b.*", F.length("b.full_text").alias("char_count"))
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch["k"], batch["t"]):
+                _, _, arts = article_pieces(t)
+                rows += [(k, i, n if n is not None else i + 1, title, body, chapter or "", section or "", len(body)) for i, (n, title, body, chapter, section) in enumerate(arts)] or [(k, 0, 0, "(Toàn văn)", t, "", "", len(t))]
+            yield pd.DataFrame(rows, columns=["k", "art_ord", "number", "title", "full_text", "chapter", "section", "char_count"])
+
+    found = texts.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(run, f"k {kind}, art_ord int, number int, title string, full_text string, chapter string, section string, char_count int")
+    return found.withColumnRenamed("k", key)
 
 
 def merge_groups(sizes: Column, least: int = MIN_CHARS) -> Column:
@@ -127,8 +149,24 @@ def with_clause_parts(rows: DataFrame, text: str, out: str, most: int = MAX_CHAR
     )
 
 
-def spans(rows: DataFrame, key: str, order: str, length: Column) -> DataFrame:
-    """Start and end of each row when the rows of a key are laid one after another."""
-    w = Window.partitionBy(key).orderBy(order)
-    start = F.coalesce(F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("start_char", start).withColumn("next_start", F.lead("start_char").over(w)).withColumn("end_char", F.coalesce("next_start", F.col("start_char") + length)).drop("next_start")
+def spans(rows: DataFrame, key: str, order: str, length: Column, range_size: int = 10_000) -> DataFrame:
+    """Start and end of each row when the rows of a key are laid one after another.
+
+    Rows are added up within ranges of the order (whole numbers), ranges pass on their totals: a hot key is no single task.
+    """
+    held = rows.withColumn("_range", F.expr(f"{order} div {range_size}")).withColumn("_n", length)
+    w, ranges = Window.partitionBy(key, "_range").orderBy(order), Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.groupBy(key, "_range").agg(F.sum("_n").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(ranges), F.lit(0))).drop("_sum")
+    within = held.withColumn("_in", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    start = F.col("_in") + F.col("_before")
+    # laid end to end, a row ends where the next one starts
+    return within.join(before, [key, "_range"]).select(*rows.columns, start.alias("start_char"), (start + F.col("_n")).alias("end_char"))
+
+
+def previous(rows: DataFrame, key: str, order: str, value: str, out: str, range_size: int = 10_000) -> DataFrame:
+    """The value of the row before in the order (whole numbers) of a key; ranges pass on their last value only."""
+    held = rows.withColumn("_range", F.expr(f"{order} div {range_size}"))
+    w, ranges = Window.partitionBy(key, "_range").orderBy(order), Window.partitionBy(key).orderBy("_range")
+    before = held.groupBy(key, "_range").agg(F.max_by(value, order).alias("_end")).select(key, "_range", F.lag("_end").over(ranges).alias("_last"))
+    within = held.withColumn("_i", F.row_number().over(w)).withColumn("_lag", F.lag(value).over(w))
+    return within.join(before, [key, "_range"]).select(*rows.columns, F.when(F.col("_i") == 1, F.col("_last")).otherwise(F.col("_lag")).alias(out))

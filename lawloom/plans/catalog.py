@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import chunking, graph, indexing, retrieval, stats, structure
-from ..runtime import table
+from ..operators import chunking, graph, indexing, indexrun, retrieval, stats, structure
+from ..runtime import scratch, table
 from ..sources import readers
-from ..streaming.indexer import stream_index_report
+from ..streaming.indexer import stream_index_report, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,7 +31,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 _TOKENS = "CAST(floor(length(text) / 3.5) AS INTEGER)"
-_STATS = """count(*) AS chunks, sum(t)::BIGINT AS total_tokens, min(t) AS min_tokens, max(t) AS max_tokens, (sum(t) // count(*))::BIGINT AS avg_tokens,
+_STATS = """count(*) AS chunks, sum(t)::BIGINT AS total_tokens, min(t) AS min_tokens, max(t) AS max_tokens, (sum(t) // count(t))::BIGINT AS avg_tokens,
   count(*) FILTER (t BETWEEN 800 AND 1200) AS in_range, round_even(100.0 * count(*) FILTER (t BETWEEN 800 AND 1200) / count(*), 1)::DOUBLE AS pct_in_range"""
 
 
@@ -50,15 +50,13 @@ def chunk_stats_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT l.law_id, l.law_name AS name, l.source, count(*) AS chunks, sum(token_count)::BIGINT AS total_tokens, min(token_count) AS min_tokens, max(token_count) AS max_tokens,
-  (sum(token_count) // count(*))::BIGINT AS avg_tokens, count(*) FILTER (has_overlap) AS chunks_with_overlap
-FROM chunks c JOIN laws l ON c.source_law_id = l.law_id WHERE token_count IS NOT NULL GROUP BY ALL"""
+  (sum(token_count) // count(token_count))::BIGINT AS avg_tokens, count(*) FILTER (token_count BETWEEN 800 AND 1200) AS in_range,
+  round_even(100.0 * count(*) FILTER (token_count BETWEEN 800 AND 1200) / count(*), 1)::DOUBLE AS pct_in_range, count(*) FILTER (has_overlap) AS chunks_with_overlap
+FROM chunks c JOIN laws l ON c.source_law_id = l.law_id GROUP BY ALL"""
 )
 def law_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of each registered law's chunks. Chunks are summed per law id first, then named: the join is small."""
-    per = table(spark, sf_dir, "chunks").where("token_count is not null").groupBy(F.col("source_law_id").alias("law_id")).agg(
-        F.count("*").alias("chunks"), F.sum(F.col("token_count").cast("bigint")).alias("total_tokens"), F.min("token_count").alias("min_tokens"), F.max("token_count").alias("max_tokens"),
-        F.expr("sum(cast(token_count as bigint)) div count(*)").alias("avg_tokens"), F.count_if("has_overlap").alias("chunks_with_overlap"),
-    )
+    per = table(spark, sf_dir, "chunks").groupBy(F.col("source_law_id").alias("law_id")).agg(*stats.token_aggregates("token_count"), F.count_if("has_overlap").alias("chunks_with_overlap"))
     return per.join(table(spark, sf_dir, "laws").select("law_id", F.col("law_name").alias("name"), "source"), "law_id")
 
 
@@ -102,7 +100,24 @@ def law_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("law_id").agg(F.min_by("article_id", key).alias("first_article"), F.max_by("article_id", key).alias("last_article"), F.sum("c").alias("chars"))
 
 
-@query()
+def _tidy_sql(x: str) -> str:
+    """SQL that tidies the lines of an expression as `tidy_lines` does."""
+    edge = r"'^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'"
+    lines = rf"list_aggregate(list_transform(string_split(regexp_replace({x}, '\n{{3,}}', e'\n\n', 'g'), e'\n'), lambda x: regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), {edge})), 'string_agg', e'\n')"
+    return rf"regexp_replace(regexp_replace({lines}, '\n{{3,}}', e'\n\n', 'g'), {edge})"
+
+
+def _clean_sql(c: str) -> str:
+    """SQL of `clean_text`, for the four entities that the records hold."""
+    plain = f"coalesce({c}, '')"
+    for _ in range(2):
+        for entity, sign in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&amp;", "'&'")):
+            plain = f"replace({plain}, '{entity}', {sign})"
+    plain = rf"regexp_replace(nfc_normalize(regexp_replace({plain}, '<[^>]+>', ' ', 'g')), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]', '', 'g')"
+    return _tidy_sql(rf"regexp_replace({plain}, '\r\n?', e'\n', 'g')")
+
+
+@query(f"SELECT record_id, {_clean_sql('title')} AS title, {_clean_sql('text')} AS text FROM records")
 def clean_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "records").select("record_id", tx.clean_text("title").alias("title"), tx.clean_text("text").alias("text"))
 
@@ -116,7 +131,13 @@ def tidy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.doc_hash(tx.tidy_lines(F.coalesce("text", F.lit("")))).alias("tidy_md5"))
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT law_id, record_id AS k, {_clean_sql('title')} AS t, {_clean_sql('text')} AS b,
+  coalesce(try_cast(translate(list_extract(string_split(article_id, '__'), -1), '０１２３４５６７８９', '0123456789') AS INTEGER), 0) AS n FROM records),
+p AS (SELECT law_id, k, n, CASE WHEN t <> '' AND b <> '' THEN t || e'\\n' || b ELSE t || b END AS part FROM c WHERE t <> '' OR b <> ''),
+f AS (SELECT law_id, floor(n / 500)::BIGINT AS block, string_agg(part, e'\\n\\n' ORDER BY n, k) AS x FROM p GROUP BY ALL)
+SELECT law_id, block, length(x) AS chars, (length(x) // 3500)::BIGINT AS pages, md5(x) AS md5 FROM f"""
+)
 def reconstruct_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned text of each law in blocks of articles, by length and hash."""
     laws = chunking.reconstruct(table(spark, sf_dir, "records"))
@@ -165,10 +186,9 @@ ASOF LEFT JOIN (SELECT user_id, ts FROM events WHERE event_type = 'view' AND use
 )
 def asof_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each purchase the last view at or before it: the as-of lookup of headings on the event table."""
-    rows = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "view"))
-    w = Window.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "view", 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("event_type") == "view", F.col("ts")), ignorenulls=True).over(w)
-    return rows.withColumn("viewed_at", F.when(F.col("user_id").isNotNull(), seen)).where("event_type = 'purchase'").select("event_id", "user_id", "viewed_at")
+    rows = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "view")).select("event_id", "user_id", "event_type", "ts", F.col("ts").alias("at"))
+    found = structure.carry_forward(rows, "user_id", "ts", "event_type", "at", ("view",), part=F.to_date("ts"))
+    return found.where("event_type = 'purchase'").select("event_id", "user_id", F.col("view").alias("viewed_at"))
 
 
 @query(
@@ -225,9 +245,9 @@ def clause_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def overlap_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overlap of each chunk with the chunk before in its document, at most 350 characters where sentences allow."""
-    w = Window.partitionBy("document_name").orderBy("chunk_key")
-    rows = table(spark, sf_dir, "chunks").select("chunk_key", "document_name", F.lag("text").over(w).alias("before"))
-    return rows.select("chunk_key", tx.overlap_tail(F.coalesce("before", F.lit("")), structure.OVERLAP_CHARS).alias("overlap"))
+    # the end of each text is cut in the map; only ends are shuffled
+    rows = table(spark, sf_dir, "chunks").select("chunk_key", "document_name", tx.overlap_tail("text", structure.OVERLAP_CHARS).alias("tail"))
+    return structure.previous(rows, "document_name", "chunk_key", "tail", "overlap").select("chunk_key", F.coalesce("overlap", F.lit("")).alias("overlap"))
 
 
 @query()
@@ -424,3 +444,173 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The resumable index as a stream over all chunk files; one file is one batch."""
     return stream_index_report(spark, sf_dir)
+
+
+@query("SELECT l.source, r.law_id, l.law_rank, count(*) AS records FROM records r JOIN laws l USING (law_id) GROUP BY ALL")
+def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of both sources as one tagged table, each source with the laws the registry names for it."""
+    records, laws = table(spark, sf_dir, "records"), table(spark, sf_dir, "laws")
+    return readers.union_sources(laws, hub=records, local=records).groupBy("source", "law_id", "law_rank").agg(F.count("*").alias("records"))
+
+
+@query("SELECT chunk_key, law_rank, dense_rank() OVER (ORDER BY law_rank)::INTEGER AS place FROM chunks JOIN laws ON source_law_id = law_id")
+def law_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks in the order of output: laws by rank, with the place of their law among those that have chunks."""
+    ordered = indexing.in_law_order(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "laws"))
+    # places are told on the ranks that occur, one row per law
+    ranks = ordered.select("law_rank").distinct().withColumn("place", F.expr("row_number() over (order by law_rank)"))
+    return ordered.join(ranks, "law_rank").select("chunk_key", "law_rank", "place")
+
+
+@query(f"SELECT source_law_id AS law_id, grouping(source_law_id)::INTEGER AS is_total, {_STATS}, count(*) FILTER (has_overlap) AS chunks_with_overlap FROM (SELECT *, token_count AS t FROM chunks) GROUP BY ROLLUP (source_law_id)")
+def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a run: statistics per law and in total, in one pass."""
+    rows = table(spark, sf_dir, "chunks").withColumnRenamed("source_law_id", "law_id")
+    return rows.rollup("law_id").agg(F.grouping("law_id").cast("int").alias("is_total"), *stats.token_aggregates("token_count"), F.count_if("has_overlap").alias("chunks_with_overlap"))
+
+
+@query("SELECT status, count(*) AS n, (count(*) * 100 // (SELECT count(*) FROM index_log))::INTEGER AS pct FROM index_log GROUP BY status")
+def status_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.status_shares(table(spark, sf_dir, "index_log"))
+
+
+@query(
+    """SELECT chunk_key, doc_hash, attempt + 1 AS next_attempt FROM (SELECT * FROM index_log WHERE chunk_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_key ORDER BY event_at DESC, log_id DESC) = 1) WHERE status = 'failed'"""
+)
+def retry_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks to be tried again: those whose last attempt failed."""
+    return indexing.retry_queue(table(spark, sf_dir, "index_log"))
+
+
+@query("SELECT article_id, record_id, law_id, md5(text) AS md5 FROM records QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY ingested_at DESC, record_id DESC) = 1")
+def upsert_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles delivered more than once: the last delivery of each id stands."""
+    rows = table(spark, sf_dir, "records").select("article_id", "record_id", "law_id", "ingested_at", F.md5(F.col("text").cast("binary")).alias("md5"))
+    return indexing.upsert_last(rows, "article_id", "ingested_at", "record_id").select("article_id", "record_id", "law_id", "md5")
+
+
+@query(
+    """SELECT rel_id, chunk_key, weight FROM (SELECT 'rel-' || md5(lower(document_name) || lower(chunk_id)) AS rel_id, chunk_key, token_count AS weight FROM chunks)
+QUALIFY row_number() OVER (PARTITION BY rel_id ORDER BY chunk_key DESC) = 1"""
+)
+def upsert_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations written more than once: the last one of each id stands."""
+    rows = table(spark, sf_dir, "chunks").select(tx.relation_id("document_name", "chunk_id").alias("rel_id"), "chunk_key", F.col("token_count").alias("weight"))
+    return indexing.upsert_last(rows, "rel_id", "chunk_key")
+
+
+@query(
+    """SELECT doc_id, md5('Answer in ' || coalesce(lang, '') || ' from ' || source || e':\\n' || text || e'\\n{unknown}') AS md5 FROM documents"""
+)
+def prompt_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt per document: the template's names filled, null as empty, other braces left."""
+    prompt = indexrun.fill_prompt("Answer in {lang} from {source}:\n{text}\n{unknown}", lang="lang", source="source", text="text")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.doc_hash(prompt).alias("md5"))
+
+
+@query(
+    """WITH n AS (SELECT 'c' || c_custkey AS id FROM customer UNION ALL SELECT 'o' || o_orderkey FROM orders), e AS (SELECT 'o' || l_orderkey AS s, 's' || l_suppkey AS t FROM lineitem UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders)
+SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM e WHERE s IN (SELECT id FROM n) AND t IN (SELECT id FROM n)) AS complete_edges"""
+)
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges of the graph of customers, orders and suppliers (who are no nodes)."""
+    node = lambda name, c, p: table(spark, sf_dir, name).select(F.concat(F.lit(p), F.col(c).cast("string")).alias("entity_id"))
+    edge = lambda name, a, p, b, q: table(spark, sf_dir, name).select(F.concat(F.lit(p), F.col(a).cast("string")).alias("src_id"), F.concat(F.lit(q), F.col(b).cast("string")).alias("tgt_id"))
+    edges = edge("lineitem", "l_orderkey", "o", "l_suppkey", "s").unionByName(edge("orders", "o_orderkey", "o", "o_custkey", "c"))
+    return graph.graph_counts(node("customer", "c_custkey", "c").unionByName(node("orders", "o_orderkey", "o")), edges)
+
+
+@query(
+    """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem)
+SELECT l_orderkey, (i - 1)::INTEGER AS art_ord, l_linenumber::INTEGER AS number, l_partkey::VARCHAR AS title,
+  CASE WHEN i >= 2 THEN 'Chương ' || (i // 2) || '. ' || first_value(l_returnflag) OVER (PARTITION BY l_orderkey, i // 2 ORDER BY i) ELSE '' END AS chapter,
+  CASE WHEN i >= 3 THEN 'Mục ' || (i // 3) || '. ' || first_value(l_linestatus) OVER (PARTITION BY l_orderkey, i // 3 ORDER BY i) ELSE '' END AS section FROM l"""
+)
+def article_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapter and section of every article: orders written as laws, a chapter before each second line and a section before
+    each third, and read back."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"))).alias("a"))
+
+    def article(x, i):
+        n = i + 1
+        chapter = F.when(n % 2 == 0, F.concat(F.lit("Chương "), F.floor(n / 2), F.lit(". "), x["l_returnflag"], F.lit("\n"))).otherwise(F.lit(""))
+        section = F.when(n % 3 == 0, F.concat(F.lit("Mục "), F.floor(n / 3), F.lit(". "), x["l_linestatus"], F.lit("\n"))).otherwise(F.lit(""))
+        return F.concat(chapter, section, F.lit("Điều "), x["l_linenumber"], F.lit(". "), x["l_partkey"], F.lit("\n1. body\n"))
+
+    texts = lines.select("l_orderkey", F.array_join(F.transform("a", article), "").alias("text"))
+    return structure.extract_articles(texts, "l_orderkey", "text").select("l_orderkey", "art_ord", "number", "title", "chapter", "section")
+
+
+_LAW_OF_TEXT = r"SELECT md5(text) AS h, regexp_replace(arg_min(coalesce(source_law_id, ''), chunk_key), '^[\s]+|[\s]+$', '', 'g') AS law, arg_min(chunk_id, chunk_key) AS chunk FROM chunks GROUP BY 1"
+
+
+@query(
+    f"""WITH t AS ({_LAW_OF_TEXT})
+SELECT 'entity' AS kind, law AS name, 'LAW' AS told, count(*) AS mentions, count(DISTINCT chunk) AS chunks, count(*)::DOUBLE AS weight, 'a law' AS description FROM t GROUP BY law
+UNION ALL SELECT 'entity', 'VN', 'PLACE', count(*), count(DISTINCT chunk), count(*)::DOUBLE, 'a country' FROM t
+UNION ALL SELECT 'relation', law, 'VN', count(*), count(DISTINCT chunk), 2.0 * count(*), 'holds in' FROM t GROUP BY law"""
+)
+def index_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index run over all chunks with a stand-in for the model that names each text's law and its country: prompts,
+    answers, parsing, merged entities and relations."""
+    folder = scratch(spark, "index")
+    chunks = table(spark, sf_dir, "chunks")
+
+    def model(prompt: str) -> str:
+        law = prompt.split("\n", 1)[0].removeprefix("List the entities and relationships of the text of ").removesuffix(".")
+        return f'("entity"<|>{law}<|>LAW<|>a law)##("entity"<|>VN<|>PLACE<|>a country)##("relationship"<|>{law}<|>VN<|>holds in<|>2)##("entity"<|>broken)'
+
+    indexrun.run_index(chunks, folder, model)
+    tables = indexrun.build_graph(indexrun.read_extractions(spark, folder), chunks)
+    entities = tables["entities"].select(F.lit("entity").alias("kind"), F.col("entity").alias("name"), F.col("entity_type").alias("told"), "mentions", "chunks", F.col("mentions").cast("double").alias("weight"), "description")
+    return entities.unionByName(tables["relations"].select(F.lit("relation").alias("kind"), F.col("src_id").alias("name"), F.col("tgt_id").alias("told"), "mentions", "chunks", "weight", "description"))
+
+
+@query(
+    """SELECT entity, sum(n)::BIGINT AS mentions, arg_min(entity_type, (-n, entity_type)) AS entity_type, any_value(chunks) AS chunks, coalesce(any_value(d), '') AS description
+FROM (SELECT document_name AS entity, coalesce(lang, 'UNKNOWN') AS entity_type, count(*) AS n FROM chunks GROUP BY ALL)
+JOIN (SELECT document_name AS entity, count(DISTINCT chunk_id) AS chunks, string_agg(DISTINCT nullif(section_context, ''), '<SEP>' ORDER BY nullif(section_context, '')) AS d FROM chunks GROUP BY 1) USING (entity) GROUP BY entity"""
+)
+def entity_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entities with type and the distinct sections of their chunks as descriptions."""
+    rows = table(spark, sf_dir, "chunks").select(F.col("document_name").alias("entity"), F.coalesce("lang", F.lit("UNKNOWN")).alias("entity_type"), F.col("section_context").alias("description"), F.col("chunk_id").alias("chunk"))
+    return graph.merge_entities(rows)
+
+
+@query(
+    """SELECT 'rel-' || md5(lower(src_id) || lower(tgt_id)) AS rel_id, *, FROM (SELECT document_name AS src_id, lang AS tgt_id, sum(coalesce(token_count, 1))::DOUBLE AS weight, count(*) AS mentions, count(DISTINCT chunk_id) AS chunks,
+  coalesce(string_agg(DISTINCT nullif(chapter_context, ''), '<SEP>' ORDER BY nullif(chapter_context, '')), '') AS description FROM chunks WHERE lang IS NOT NULL GROUP BY ALL)"""
+)
+def relation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and languages as relations: summed strength, distinct descriptions, chunks."""
+    rows = table(spark, sf_dir, "chunks").where("lang is not null")
+    return graph.merge_relations(rows.select(F.col("document_name").alias("src_id"), F.col("lang").alias("tgt_id"), F.col("chapter_context").alias("description"), F.col("token_count").cast("double").alias("strength"), F.col("chunk_id").alias("chunk")))
+
+
+@query("SELECT document_name AS entity, 0 AS part_no, count(DISTINCT chunk_id) AS chunks, string_agg(DISTINCT chunk_id, '<SEP>' ORDER BY chunk_id) AS chunk_ids FROM chunks GROUP BY 1")
+def entity_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of each entity as joined lists, in parts where they are many."""
+    return graph.id_lists(table(spark, sf_dir, "chunks").select(F.col("document_name").alias("entity"), F.col("chunk_id").alias("chunk")), ["entity"])
+
+
+@query(
+    f"""WITH {_SCORES}, a AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE label % 2 = 0 QUALIFY rank <= 5),
+b AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE label % 2 = 1 QUALIFY rank <= 5),
+m AS (SELECT query_id, vec_id, min(rank) AS best_rank, count(*) AS levels FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL),
+h AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY best_rank, levels DESC, vec_id) AS position FROM m QUALIFY position <= 6),
+c AS (SELECT query_id, doc_id AS chunk_key, min(position) AS best, count(*) AS hits FROM h JOIN documents ON doc_id % 300 = vec_id % 300 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER w AS place, sum(n_chars // 4) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS filled FROM (SELECT c.*, n_chars FROM c JOIN documents ON doc_id = chunk_key) WINDOW w AS (PARTITION BY query_id ORDER BY best, hits DESC, chunk_key))
+SELECT query_id, chunk_key, best, hits, place, filled FROM o WHERE filled <= 8000"""
+)
+def hybrid_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents behind the hits of both levels, in order, within the budget of the context."""
+    hits = hybrid_retrieve(spark, sf_dir).select("query_id", "vec_id", "position")
+    docs = table(spark, sf_dir, "documents")
+    bridge = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 300).alias("r")).join(docs.select(F.col("doc_id").alias("chunk_key"), (F.col("doc_id") % 300).alias("r")), "r").drop("r")
+    return retrieval.hybrid_context(hits, bridge, docs.select(F.col("doc_id").alias("chunk_key"), F.expr("n_chars div 4").alias("tokens")))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS events FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per day and type, by the operator that also runs on a stream with late rows."""
+    return windowed_counts(table(spark, sf_dir, "events").where("ts is not null"), "ts", "event_type")

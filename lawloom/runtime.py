@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +22,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     set_dir = jsc.getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")  # one machine, as in tests
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -33,5 +37,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def repository_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on the store it names."""
+    fs, p = _hadoop_path(spark, path)
+    return fs.exists(p)
+
+
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern on the store it names, in order."""
+    fs, p = _hadoop_path(spark, pattern)
+    return sorted(str(s.getPath()) for s in fs.globStatus(p) or [])
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop_path(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path on the shared store."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..runtime import MAX_BROADCAST_ROWS
+from ..runtime import MAX_BROADCAST_ROWS, path_exists
 
 CHUNK_FIELDS = (
     "document_name string, chunk_id string, text string, content string, chunk_text string, law_id string, article string, dieu string, clause string, khoan string, "
@@ -31,6 +31,29 @@ def registered(records: DataFrame, laws: DataFrame) -> DataFrame:
     return records.join(known, "law_id")
 
 
+def union_sources(laws: DataFrame, **sources: DataFrame) -> DataFrame:
+    """Records of all sources (by name) as one table with `source`; each source gives the laws that the registry names for it.
+    """
+    out = None
+    for name, records in sources.items():
+        own = registered(records, laws.where(F.col("source") == name)).select("law_id", "law_name", "law_rank", "article_id", "title", "text", F.lit(name).alias("source"))
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("no source is given")
+    return out
+
+
+def read_sources(readers: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """The sources that could be opened, and the errors of the others, by name: a failing one does not stop the rest."""
+    held, failed = {}, {}
+    for name, read in readers.items():
+        try:
+            held[name] = read()
+        except Exception as e:  # noqa: BLE001  whatever the source raises
+            failed[name] = str(e).split("\n")[0]
+    return held, failed
+
+
 def missing_laws(records: DataFrame, laws: DataFrame) -> DataFrame:
     """Registered laws without a record."""
     return laws.join(records.select("law_id").distinct(), "law_id", "left_anti")
@@ -40,8 +63,7 @@ def text_files(spark: SparkSession, folder: str, laws: DataFrame) -> DataFrame:
     """Article records of the text files that the registry names; files that are missing or not named give none."""
     files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), tx.clean_text("value").alias("body"))
     named = files.join(laws.where("file_name is not null").select("file_name", "law_id", "law_name"), "file_name")
-    found = tx.matches("body", tx.ARTICLE)
-    cuts = named.withColumn("m", found).where(F.size("m") > 0)
+    cuts = named.withColumn("m", tx.matches("body", tx.ARTICLE)).where(F.size("m") > 0)
     # each heading with the text up to the next one
     blocks = F.transform(
         "m",
@@ -109,13 +131,13 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def index_log(spark: SparkSession, path: str) -> DataFrame:
     """The log of indexing; empty where there is none yet."""
     schema = "chunk_key bigint, doc_hash string, status string, text string, ts timestamp"
-    return spark.read.schema(schema).parquet(path) if os.path.exists(path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def first_existing(*paths: str) -> str:
-    """The first path that exists; an error if none does."""
+def first_existing(spark: SparkSession, *paths: str) -> str:
+    """The first path that exists on its store; an error if none does."""
     for p in paths:
-        if os.path.exists(p):
+        if path_exists(spark, p):
             return p
     raise FileNotFoundError(", ".join(paths))
 

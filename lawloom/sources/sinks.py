@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import safe_file_name
+from ..functions.text import relation_id, safe_file_name
 from ..operators.chunking import nested_chunks
 
 
@@ -38,3 +38,21 @@ def snapshot(df: DataFrame, folder: str, name: str, now: dt.datetime | None = No
     target = f"{folder}/run_{(now or dt.datetime.now()).strftime('%Y%m%d_%H%M%S')}/{name}"
     df.write.mode("errorifexists").parquet(target)
     return target
+
+
+def write_index(tables: dict[str, DataFrame], path: str) -> None:
+    """The four tables of an index (`indexrun.build_graph`) as key-value tables, each in its folder.
+
+    Lists that are split into parts have the part in their key.
+    """
+    part = F.when(F.col("part_no") > 0, F.concat(F.lit("#"), F.col("part_no").cast("string"))).otherwise(F.lit(""))
+    rel = relation_id("src_id", "tgt_id")
+    write_key_values(tables["entities"].withColumnRenamed("entity", "id"), "id", f"{path}/entities")
+    write_key_values(tables["relations"].withColumnRenamed("rel_id", "id"), "id", f"{path}/relations")
+    write_key_values(tables["entity_chunks"].select(F.concat("entity", part).alias("id"), "chunks", "chunk_ids"), "id", f"{path}/entity_chunks")
+    write_key_values(tables["relation_chunks"].select(F.concat(rel, part).alias("id"), "chunks", "chunk_ids"), "id", f"{path}/relation_chunks")
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """A batch of outcomes (chunk_key, doc_hash, status) with their time, appended to the log."""
+    rows.select("chunk_key", "doc_hash", "status", F.current_timestamp().alias("ts")).write.mode("append").parquet(path)
