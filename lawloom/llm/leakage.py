@@ -1,9 +1,14 @@
 """Evaluation texts leaking into training text (problem 7).
 
-Both sides are cut into windows of fifteen words. The five-word shingles of the items are indexed by a 64-bit hash,
-and the shingles of a document are looked up there. What two windows share can weigh no more than the shingles of
-either that are found on the other side, so windows for which that is too little are passed over; none that reaches
-the similarity is. Every pair that is left is verified by the exact weighted similarity of its shingles.
+Both sides are cut into windows of fifteen words. Two windows whose five-word shingles are 0.8 alike have an inner run of
+thirteen words nearly in common, so what is fingerprinted are these: the SimHash of an inner window's shingles, weighted as
+in the comparison. The items' fingerprints are indexed by blocks of bits; any two within RADIUS bits agree in one block,
+so the blocks find every pair within it. Around each such pair the windows of fifteen words are verified by the exact
+weighted similarity of their shingles.
+
+Before fingerprints are taken, an exact bound passes over text that can hold no leak: what a window shares with any item
+weighs no more than those of its shingles that items hold at all, and windows for which that is too little are left
+out; none that reaches the similarity is.
 
 The evaluation table goes to the tasks in sets of a fixed number of windows, so what a task holds is bounded
 whatever the table's size; the corpus is only mapped over, never shuffled, and hot sources or groups of copies
@@ -24,12 +29,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import cut, table
 
 #: Words of a window; the least weighted similarity; words of a shingle that is compared.
 WINDOW, SIMILARITY, SHINGLE = 15, 0.8, 5
+#: Words by which a fingerprinted window is shorter; bits by which fingerprints may differ.
+INNER, RADIUS = 2, 3
 #: Evaluation windows held by a task at once; a larger evaluation table is worked through in several sets.
 SET_WINDOWS = 400_000
+#: Windows of a document that are fingerprinted at once.
+STRIDE = 40_000
 #: Bits of the table that tells most shingles without a match.
 TABLE_BITS = 22
 
@@ -75,60 +84,88 @@ def _box(values: np.ndarray, span: int) -> np.ndarray:
     return total[span:] - total[:-span]
 
 
+def simhash(shingles: np.ndarray, weights: np.ndarray, span: int) -> np.ndarray:
+    """Weighted SimHash of each so many successive shingles: a bit is set where shingles of more than half the weight have it."""
+    n = len(shingles) - span + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    bits = np.unpackbits(np.ascontiguousarray(shingles).view(np.uint8).reshape(-1, 8), axis=1)
+    sums = np.zeros((len(shingles) + 1, 64))
+    np.cumsum(np.where(bits, weights[:, None], -weights[:, None]), axis=0, out=sums[1:])
+    return np.packbits(sums[span:] - sums[:-span] > 1e-9, axis=1).view(np.uint64).ravel()
+
+
+class _Blocks:
+    """Fingerprints of the inner windows of a set of items, by each block of their bits."""
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius, self.parts = prints, radius, []
+        edges = np.linspace(0, 64, radius + 2).astype(int)
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            mask = np.uint64((1 << int(hi - lo)) - 1)
+            key = (prints >> np.uint64(lo)) & mask
+            order = np.argsort(key, kind="stable")
+            self.parts.append((np.uint64(lo), mask, order, key[order]))
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in `prints`, in the set) of all pairs within the radius, each once."""
+        left, right = [], []
+        for lo, mask, order, keys in self.parts:
+            key = (prints >> lo) & mask
+            first, last = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
+            count = last - first
+            a = np.repeat(np.arange(len(prints)), count)
+            b = order[np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+            close = np.bitwise_count(prints[a] ^ self.prints[b]) <= self.radius
+            left.append(a[close])
+            right.append(b[close])
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
+        return pairs[0], pairs[1]
+
+
 class _Index:
-    """The shingles of a set of items, by hash: their weights and their places (item, position)."""
+    """The items of a set: the weights of their shingles, by hash, and the fingerprints of their inner windows."""
 
-    def __init__(self, shingles: list[np.ndarray], weights: list[np.ndarray], span: int):
+    def __init__(self, shingles: list[np.ndarray], weights: list[np.ndarray], span: int, radius: int = RADIUS):
         flat = np.concatenate(shingles) if shingles else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.keys, self.starts = np.unique(flat[order], return_index=True)
-        self.starts = np.append(self.starts, len(flat))
-        self.item = np.repeat(np.arange(len(shingles)), [len(x) for x in shingles])[order] if shingles else order
-        self.place = np.concatenate([np.arange(len(x)) for x in shingles])[order] if shingles else order
-        self.weight = np.concatenate(weights)[order][self.starts[:-1]] if shingles else np.zeros(0)
-        self.own, self.windows, self.span = weights, [_box(w, span) for w in weights], span
+        self.keys, first = np.unique(flat, return_index=True)
+        self.weight = np.concatenate(weights)[first] if shingles else np.zeros(0)
+        self.span, self.inner = span, max(1, span - INNER)
+        prints = [simhash(s, w, self.inner) for s, w in zip(shingles, weights)]
+        self.item = np.repeat(np.arange(len(prints)), [len(x) for x in prints])
+        self.place = np.concatenate([np.arange(len(x)) for x in prints]) if prints else np.zeros(0, int)
+        self.windows = [len(s) - span + 1 for s in shingles]
+        self.blocks = _Blocks(np.concatenate(prints) if prints else flat, radius)
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[(self.keys & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
 
     def pairs(self, hashes: np.ndarray, similarity: float) -> Iterator[tuple[int, int, int]]:
-        """Pairs of windows (place in the document, item, place in it) that may be so similar, each once."""
-        span, least = self.span, similarity - 1e-6
+        """Pairs of windows (place in the document, item, place in it) around near fingerprints, each once."""
+        span, inner = self.span, self.inner
         at = np.flatnonzero(self.table[(hashes & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)])
+        if not len(at) or len(hashes) < span:
+            return
         key = np.searchsorted(self.keys, hashes[at])
         known = self.keys[np.minimum(key, len(self.keys) - 1)] == hashes[at]
         at, key = at[known], key[known]
-        if not len(at):
-            return
         weight, held = np.ones(len(hashes)), np.zeros(len(hashes))
         weight[at] = held[at] = self.weight[key]
-        total = _box(weight, span)
-        likely = _box(held, span) >= least * total
-        # a shingle counts if it is in a window that is known to the items as a whole
-        used = np.convolve(likely, np.ones(span))[: len(hashes)] > 0.5
-        at, key = at[used[at]], key[used[at]]
-        if not len(at):
+        likely = np.flatnonzero(_box(held, span) >= (similarity - 1e-6) * _box(weight, span))
+        if not len(likely):
             return
-        count = self.starts[key + 1] - self.starts[key]
-        seeds = np.repeat(at, count)
-        where = np.repeat(self.starts[key], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        item, place = self.item[where], self.place[where]
-        order = np.lexsort((seeds, item))
-        seeds, item, place = seeds[order], item[order], place[order]
-        edges = np.append(np.flatnonzero(np.diff(item, prepend=-1)), len(item))
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            n, a, b = int(item[lo]), seeds[lo:hi], place[lo:hi]
-            theirs, own = self.windows[n], self.own[n]
-            mine = np.unique(a)
-            if not len(theirs) or (len(mine) < span and weight[mine].sum() < least * theirs.min()):
-                continue
-            shared = np.zeros(len(hashes))
-            shared[mine] = weight[mine]
-            for i in np.flatnonzero(_box(shared, span) >= least * total).tolist():
-                near = b[np.searchsorted(a, i) : np.searchsorted(a, i + span)]
-                # no window pair shares more than the places of equal shingles in both
-                most = np.convolve(np.bincount(near, minlength=len(own)) * own, np.ones(span))[span - 1 : len(own)]
-                for j in np.flatnonzero(most >= least * np.maximum(theirs, total[i])).tolist():
-                    yield i, n, j
+        # the inner windows of likely ones, in runs
+        starts = np.unique((likely[:, None] + np.arange(span - inner + 1)).ravel())
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+            lo, hi = run[0], run[-1] + inner
+            for step in range(lo, hi - inner + 1, STRIDE):
+                end = min(hi, step + STRIDE + inner - 1)
+                a, b = self.blocks.near(simhash(hashes[step:end], weight[step:end], inner))
+                seen: set[tuple[int, int, int]] = set()
+                for i, n, j in zip((a + step).tolist(), self.item[b].tolist(), self.place[b].tolist()):
+                    for x in range(max(0, i - INNER), min(i, len(hashes) - span) + 1):
+                        for y in range(max(0, j - INNER), min(j, self.windows[n] - 1) + 1):
+                            seen.add((x, n, y))
+                yield from sorted(seen)
 
 
 def _shingles(words: list[str], size: int) -> Counter:
@@ -171,7 +208,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     # items of one set, by a running total over blocks of keys; a set holds about SET_WINDOWS windows
     n_windows = sizes.agg(F.sum("n")).first()[0] or 0
     n_sets = max(1, -(-int(n_windows) // SET_WINDOWS))
-    weights = _item_weights(held, shingle)
+    weights = cut(_item_weights(held, shingle))
     out = None
     for k in range(n_sets):
         part = held.where(F.pmod(F.xxhash64("k"), F.lit(n_sets)) == k)
@@ -183,12 +220,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
 def _item_weights(held: DataFrame, shingle: int) -> DataFrame:
     """Inverse item frequency of each shingle that several items share, so that boilerplate counts little."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(int(xxhash.xxh3_64_intdigest(" ".join(s)) >> 1),) for t in batch["t"] for s in set(_shingles(words_of(t), shingle))]
             yield pd.DataFrame(rows, columns=["s"])
 
-    return held.mapInPandas(cut, "s bigint").groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s", (1.0 / F.col("n")).alias("w"))
+    return held.mapInPandas(count, "s bigint").groupBy("s").agg(F.count("*").alias("n")).where("n > 1").select("s", (1.0 / F.col("n")).alias("w"))
 
 
 def _search(docs: DataFrame, part: DataFrame, weights: DataFrame, window: int, similarity: float, shingle: int) -> DataFrame:
@@ -197,7 +234,9 @@ def _search(docs: DataFrame, part: DataFrame, weights: DataFrame, window: int, s
     hashed = _Hashes()
     shingles = [shingle_hashes(np.array([hashed[x] for x in w], np.uint64), shingle) for _, w in items]
     own = {int(xxhash.xxh3_64_intdigest(" ".join(s)) >> 1): s for _, w in items for s in _shingles(w, shingle)}
-    weight = {own[r["s"]]: r["w"] for r in weights.collect() if r["s"] in own} if items else {}
+    # of the shared shingles of the whole table only those of this set
+    named = docs.sparkSession.createDataFrame([(s,) for s in own], "s bigint")
+    weight = {own[r["s"]]: r["w"] for r in weights.join(named, "s", "left_semi").collect()} if items else {}
     own_weights = [np.array([weight.get(tuple(w[i : i + shingle]), 1.0) for i in range(len(w) - shingle + 1)]) for _, w in items]
     sent = docs.sparkSession.sparkContext.broadcast((items, shingles, own_weights, weight))
 
@@ -212,8 +251,12 @@ def _search(docs: DataFrame, part: DataFrame, weights: DataFrame, window: int, s
                     continue
                 hashes = np.array([hashed[w] for w in words], np.uint64)
                 best: dict[int, list] = {}
+                done: set[tuple[int, int, int]] = set()
                 ends: dict[tuple[int, int], int] = {}
                 for i, n, at in index.pairs(shingle_hashes(hashes, shingle), similarity):
+                    if (i, n, at) in done:
+                        continue
+                    done.add((i, n, at))
                     theirs = items[n][1]
                     x, y = words[i : i + window], theirs[at : at + window]
                     s = 1.0 if x == y else weighted_similarity(_shingles(x, shingle), _shingles(y, shingle), weight)
