@@ -114,6 +114,8 @@ def split_text(text: str, limit: int, overlap: tuple[int, int]) -> list[tuple[in
             cuts = placed if natural or cuts is None else cuts
             if natural or pieces >= least + 2:
                 break
+    if cuts is None:  # no place for a cut anywhere, as in one cluster of marks: cut at the limit
+        cuts = [(at, len(BOUNDARIES)) for at in range(limit, n, limit - overlap[1])]
     out, begin, shared = [], 0, 0
     for at, rank in [*cuts, (n, -1)]:
         out.append((begin, at, shared, rank))

@@ -181,3 +181,41 @@ def test_abuse(text, case):
 def test_abuse_edges(spark):
     rows = abuse.score_documents(frame(spark, EDGES, "doc_id", "source")).collect()
     assert len(rows) == 7 and all(r["score"] == 0 for r in rows)
+
+
+def _optimum(sizes, capacity):
+    """The least number of containers, by trying every place for every document."""
+    best = len(sizes)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for r in sorted({x for x in rooms if x >= sizes[i]}):
+            k = rooms.index(r)
+            place(i + 1, [*rooms[:k], r - sizes[i], *rooms[k + 1 :]])
+        place(i + 1, [*rooms, capacity - sizes[i]])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_dominance_keeps_the_optimum(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice((10, 17, 30))
+    sizes = sorted((rng.randint(1, capacity) for _ in range(rng.randint(2, 9))), reverse=True)
+    counts = {s: sizes.count(s) for s in sizes}
+    fixed, rest = packing.reduce_by_dominance(counts, capacity)
+    left = sorted((s for s, n in rest.items() for _ in range(n)), reverse=True)
+    assert all(sum(c) <= capacity for c, _ in fixed)
+    assert sum(n for _, n in fixed) + (_optimum(left, capacity) if left else 0) == _optimum(sizes, capacity)
+
+
+def test_splitting_without_any_place():
+    text = "a" + "\u0301" * 20_000
+    pieces = splitting.split_text(text, 4_200, (350, 353))
+    assert pieces[-1][1] == len(text) and all(b - a <= 4_200 for a, b, _, _ in pieces)
