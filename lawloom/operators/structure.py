@@ -126,27 +126,35 @@ def pack_clauses(sizes: Column, header: Column, most: int = MAX_CHARS) -> Column
     return F.aggregate(F.transform(sizes, lambda s: s.cast("bigint")), zero, step, lambda acc: acc["out"])
 
 
+_CLAUSE = re.compile(tx.CLAUSE, re.M)
+
+
+def clause_part_list(text: str, most: int) -> list[str]:
+    """The parts of one text: its numbered clauses packed in order, each part under the text before the first clause; the whole
+    text if there are fewer than two clauses."""
+    starts = [m.start() for m in _CLAUSE.finditer(text)]
+    if len(starts) < 2:
+        return [text]
+    header = text[: starts[0]].strip()
+    parts, held, size = [], [], 0
+    for a, b in zip(starts, [*starts[1:], len(text)]):
+        clause = text[a:b].strip()
+        if held and len(header) + size + len(clause) > most:
+            parts.append(held)
+            held, size = [], 0
+        held.append(clause)
+        size += len(clause)
+    return ["\n".join([header, *p] if header else p) for p in [*parts, held]]
+
+
 def with_clause_parts(rows: DataFrame, text: str, out: str, most: int = MAX_CHARS) -> DataFrame:
-    """The rows with an array of parts of the text, cut at its numbered clauses, each under the article's header; the
-    whole text if there are fewer than two clauses. Built in steps, so that each is computed once per row."""
-    at = lambda i: F.try_element_at(F.col("_found"), i)["pos"]
-    segments = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("_found"), F.lit(1))),
-        lambda i: strip(F.substring(F.col(text), at(i) + 1, F.coalesce(at(i + 1), F.length(text)) - at(i))),
-    )
-    built = F.transform(
-        F.sequence(F.lit(0), F.coalesce(F.array_max("_parts"), F.lit(0))),
-        lambda p: F.concat_ws("\n", F.when(F.length("_header") > 0, F.col("_header")), F.array_join(F.transform(F.filter("_tagged", lambda x: x["p"] == p), lambda x: x["s"]), "\n")),
-    )
-    return (
-        rows.withColumn("_found", matches(text, tx.CLAUSE))
-        .withColumn("_header", strip(F.left(F.col(text), at(F.lit(1)))))
-        .withColumn("_segments", segments)
-        .withColumn("_parts", pack_clauses(F.transform("_segments", lambda x: F.length(x)), F.length("_header"), most))
-        .withColumn("_tagged", F.zip_with("_parts", "_segments", lambda p, x: F.struct(p.alias("p"), x.alias("s"))))
-        .withColumn(out, F.when(F.size("_found") >= 2, built).otherwise(F.array(F.col(text))))
-        .drop("_found", "_header", "_segments", "_parts", "_tagged")
-    )
+    """The rows with an array of parts of the text, cut at its numbered clauses (`clause_part_list`); null for null."""
+
+    @F.pandas_udf("array<string>")
+    def parts(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else clause_part_list(t, most))
+
+    return rows.withColumn(out, parts(F.col(text)))
 
 
 def spans(rows: DataFrame, key: str, order: str, length: Column, range_size: int = 10_000) -> DataFrame:
