@@ -100,7 +100,7 @@ def _matrix(rows: pd.DataFrame) -> np.ndarray:
 
 def fit_models(featured: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS) -> dict[str, list[tuple[np.ndarray, float, float, int]]]:
     """Per language, for the public tokenizer in `path` and for the project's own estimate: the coefficients with
-    the bias factor applied, that factor, the relative error of the uncorrected holdout total, and the rows used.
+    the bias factor applied, that factor, the relative error of the corrected total of rows used for neither, and the rows used.
     The model of all languages stands under '*'.
     """
     total = featured.where("t is not null").count()
@@ -115,9 +115,10 @@ def fit_models(featured: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS) -
         for batch in batches:
             y = np.array([(count_tokens(t, path), int(len(t) / CHARS_PER_TOKEN)) for t in batch["t"]], float).reshape(-1, 2)
             x = _matrix(batch)
-            held = (batch["h"].to_numpy() % HOLDOUT == 0).astype(int)
+            turn = batch["h"].to_numpy() % HOLDOUT
+            held = np.where(turn == 0, 1, np.where(turn == 1, 2, 0))  # 0 to fit, 1 to correct the bias, 2 to measure
             for lang in batch["lang"].unique():
-                for part in (0, 1):
+                for part in (0, 1, 2):
                     rows = (batch["lang"].to_numpy() == lang) & (held == part)
                     if rows.any():
                         a, b = x[rows], y[rows]
@@ -143,14 +144,16 @@ def fit_models(featured: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS) -
             groups[key] = [a + b for a, b in zip(groups[key], new)] if key in groups else new
     models: dict[str, list] = {}
     for lang in {k for k, _ in groups}:
-        fit = groups.get((lang, 0)) or groups[lang, 1]
+        fit = groups.get((lang, 0)) or groups.get((lang, 1)) or groups[lang, 2]
         held = groups.get((lang, 1)) or fit
+        test = groups.get((lang, 2)) or held
         coef = np.linalg.solve(fit[0] + 1e-9 * np.trace(fit[0]) * np.eye(width), fit[1])
         models[lang] = []
         for i in (0, 1):
             predicted, actual = float(held[2] @ coef[:, i]), float(held[3][i])
             bias = actual / predicted if predicted > 0 and actual > 0 else 1.0
-            models[lang].append((coef[:, i] * bias, bias, abs(actual - predicted) / actual if actual else 0.0, int(fit[4] + held[4])))
+            told, true = float(test[2] @ coef[:, i]) * bias, float(test[3][i])
+            models[lang].append((coef[:, i] * bias, bias, abs(true - told) / true if true else 0.0, int(fit[4] + held[4])))
     return models
 
 
@@ -250,7 +253,7 @@ def p2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fitted models: rows tokenized, bias factor and relative error of the holdout total, by language."""
+    """The fitted models: rows tokenized, bias factor and relative error of the total of rows used for neither, by language."""
     chunks = table(spark, sf_dir, "chunks").select(F.col("chunk_key").alias("k"), F.col("text").alias("t"), "lang")
     models = fit_models(with_features(chunks, "t").withColumn("lang", language(F.col("lang"))), vocab_path())
     rows = [(lang, m[0][3], float(m[0][1]), float(m[0][2])) for lang, m in models.items()]

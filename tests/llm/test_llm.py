@@ -219,3 +219,17 @@ def test_splitting_without_any_place():
     text = "a" + "\u0301" * 20_000
     pieces = splitting.split_text(text, 4_200, (350, 353))
     assert pieces[-1][1] == len(text) and all(b - a <= 4_200 for a, b, _, _ in pieces)
+
+
+def test_budget_from_a_small_sample(spark):
+    """Tokens of a table six times the sample, which is fitted, corrected and measured on rows of its own."""
+    rng = random.Random(4)
+    words = "bến đò giấy phép người giữ sổ kho the keeper files 12 3,5 der Halter zahlt 2030".split()
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(5, 80))), ("vi", "en")[i % 2]) for i in range(900)]
+    df = spark.createDataFrame(rows, "chunk_key bigint, text string, lang string")
+    from lawloom.llm.tokens import count_tokens, vocab_path
+
+    path = vocab_path()
+    true = {lang: sum(count_tokens(t, path) for _, t, x in rows if x == lang) for lang in ("vi", "en")}
+    got = {r["lang"]: r["n"] for r in budget.token_estimates(df, sample_rows=150).groupBy("lang").agg(F.sum("tokens").alias("n")).collect()}
+    assert all(abs(got[x] - true[x]) <= 0.05 * true[x] for x in true)
