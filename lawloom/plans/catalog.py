@@ -174,7 +174,13 @@ def marker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.markers(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    r"""WITH m AS (SELECT record_id, text, kind, string_split_regex(text, p) AS g, regexp_extract_all(text, p) AS f FROM records, (VALUES ('article', '(?m)^Điều[\s\p{Z}\x0b\x1c-\x1f\x{85}]+\p{Nd}+[\.:][\s\p{Z}\x0b\x1c-\x1f\x{85}]*.*'), ('chapter', '(?m)^Chương[\s\p{Z}\x0b\x1c-\x1f\x{85}]+[IVXLCDM\p{Nd}]+[\.:]*[\s\p{Z}\x0b\x1c-\x1f\x{85}]*.*'),
+  ('section', '(?m)^Mục[\s\p{Z}\x0b\x1c-\x1f\x{85}]+\p{Nd}+[\.:]*[\s\p{Z}\x0b\x1c-\x1f\x{85}]*.*'), ('clause', '(?m)^[\s\p{Z}\x0b\x1c-\x1f\x{85}]*\p{Nd}+\.[\s\p{Z}\x0b\x1c-\x1f\x{85}]+'), ('point', '(?m)^[\s\p{Z}\x0b\x1c-\x1f\x{85}]*[a-zđ]\)[\s\p{Z}\x0b\x1c-\x1f\x{85}]+')) k(kind, p) WHERE text IS NOT NULL),
+i AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM m),
+o AS (SELECT *, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0))::INTEGER AS pos FROM i)
+SELECT record_id, kind, pos, substring(text, pos + 1, length(f[i]) + 20) AS context FROM o"""
+)
 def marker_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every structural marker of every record with its position and what follows it."""
     return structure.markers(table(spark, sf_dir, "records"), "record_id", "text")
