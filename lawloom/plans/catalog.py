@@ -155,7 +155,19 @@ def article_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count("*").alias("articles"), F.min(number).alias("first_no"), F.max(number).alias("last_no"))
 
 
-@query()
+@query(
+    r"""WITH m AS (SELECT doc_id, text, string_split_regex(text, '(?m)^Điều[\s\p{Z}]+\p{Nd}+[\.:][\s\p{Z}]*.*') AS g, regexp_extract_all(text, '(?m)^Điều[\s\p{Z}]+\p{Nd}+[\.:][\s\p{Z}]*.*') AS f FROM documents),
+i AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM m),
+u AS (SELECT doc_id, 'c' AS kind, string_split_regex(text, '(?m)^Chương[\s\p{Z}]+[IVXLCDM\p{Nd}]+[\.:]*[\s\p{Z}]*.*') AS g, regexp_extract_all(text, '(?m)^Chương[\s\p{Z}]+[IVXLCDM\p{Nd}]+[\.:]*[\s\p{Z}]*.*') AS f FROM documents
+  UNION ALL SELECT doc_id, 's', string_split_regex(text, '(?m)^Mục[\s\p{Z}]+\p{Nd}+[\.:]*[\s\p{Z}]*.*'), regexp_extract_all(text, '(?m)^Mục[\s\p{Z}]+\p{Nd}+[\.:]*[\s\p{Z}]*.*') FROM documents),
+h AS (SELECT doc_id, kind, f[j] AS h, list_sum(list_transform(g[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:j - 1], lambda x: length(x))), 0) AS pos FROM (SELECT *, unnest(range(1, len(f) + 1)) AS j FROM u)),
+o AS (SELECT *, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS pos FROM i)
+SELECT doc_id, (i - 1)::INTEGER AS art_ord, coalesce(try_cast(regexp_extract(f[i], '(\p{Nd}+)', 1) AS INTEGER), i)::INTEGER AS number, regexp_replace(regexp_extract(f[i], '^Điều[\s\p{Z}]+\p{Nd}+[\.:][\s\p{Z}]*(.*)', 1), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS title,
+  coalesce((SELECT arg_max(trim(h.h), h.pos) FROM h WHERE h.doc_id = o.doc_id AND h.kind = 'c' AND h.pos <= o.pos), '') AS chapter,
+  coalesce((SELECT arg_max(trim(h.h), h.pos) FROM h WHERE h.doc_id = o.doc_id AND h.kind = 's' AND h.pos <= o.pos), '') AS section,
+  length(regexp_replace(f[i] || coalesce(g[i + 1], ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'))::INTEGER AS char_count FROM o
+UNION ALL SELECT doc_id, 0, 0, '(Toàn văn)', '', '', length(text)::INTEGER FROM m WHERE len(f) = 0"""
+)
 def extract_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of every document with number, title, size and context."""
     return structure.extract_articles(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "art_ord", "number", "title", "chapter", "section", "char_count")
