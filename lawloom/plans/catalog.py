@@ -253,7 +253,19 @@ def pack_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("l_orderkey", F.explode(F.arrays_zip(F.transform("a", lambda x: x["l_linenumber"]).alias("l_linenumber"), parts.alias("part"))).alias("z")).select("l_orderkey", "z.l_linenumber", "z.part")
 
 
-@query()
+_B = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+
+
+@query(
+    rf"""WITH RECURSIVE m AS (SELECT chunk_key, text, string_split_regex(text, '(?m)^{_B}*\p{{Nd}}+\.{_B}+') AS g, regexp_extract_all(text, '(?m)^{_B}*\p{{Nd}}+\.{_B}+') AS f FROM chunks WHERE length(text) > 4200),
+s AS (SELECT chunk_key, i, regexp_replace(f[i] || coalesce(g[i + 1], ''), '^{_B}+|{_B}+$', '', 'g') AS seg, regexp_replace(g[1], '^{_B}+|{_B}+$', '', 'g') AS header FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM m WHERE len(f) >= 2)),
+p AS (SELECT chunk_key, i, seg, header, 0 AS part, length(seg) AS filled FROM s WHERE i = 1
+UNION ALL SELECT s.chunk_key, s.i, s.seg, s.header, CASE WHEN length(s.header) + p.filled + length(s.seg) > 4200 THEN p.part + 1 ELSE p.part END, CASE WHEN length(s.header) + p.filled + length(s.seg) > 4200 THEN length(s.seg) ELSE p.filled + length(s.seg) END
+  FROM p JOIN s ON s.chunk_key = p.chunk_key AND s.i = p.i + 1),
+q AS (SELECT chunk_key, part, CASE WHEN any_value(header) <> '' THEN any_value(header) || chr(10) ELSE '' END || string_agg(seg, chr(10) ORDER BY i) AS x FROM p GROUP BY chunk_key, part
+UNION ALL SELECT chunk_key, 0, text FROM m WHERE len(f) < 2)
+SELECT chunk_key, part AS part_no, length(x)::INTEGER AS chars, md5(x) AS md5 FROM q"""
+)
 def clause_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk larger than the limit cut at its clauses."""
     rows = table(spark, sf_dir, "chunks").select("chunk_key", "text").where(F.length("text") > structure.MAX_CHARS)
